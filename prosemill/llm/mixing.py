@@ -1,13 +1,12 @@
 """Mixing sources to target weights by systematic sampling, DataFrame functions only.
 
 Every document of a source has the same expected number of copies: the source's target over its
-size. Along an order of the source's documents from large to small the expected copies are summed
-up from one random offset, and a document is emitted once for each integer that its share of the
-sum crosses. As the order runs by size, what one document takes too much the next of nearly its
-size takes less, so the words taken stay close to the target.
+size. Along a hashed order of the source's documents the expected copies are summed up from one
+random offset, and a document is emitted once for each integer that its share of the sum crosses.
+Of a few random offsets that one is used whose words come closest to the target.
 
-The order is cut into cells of (source, size class, hash bucket); a cell's first rank comes from
-two prefix sums over counts of cells, so no task sees a whole source.
+The order is cut into cells of (source, hash bucket); a cell's first rank comes from a prefix sum
+over counts of cells, so no task sees a whole source.
 """
 
 from __future__ import annotations
@@ -17,12 +16,12 @@ from pyspark.sql import functions as F
 
 from prosemill.llm.common import materialize, n_words, text_or_empty
 
-#: Documents of more than this size class are cut no finer: 8 classes to each doubling.
-CLASSES_PER_DOUBLING = 8
-#: Hash buckets in a size class of a source, at least.
+#: Hash buckets of a source, at least.
 LEAST_BUCKETS = 64
 #: Documents of a source for each further hash bucket.
 ROWS_PER_BUCKET = 50_000
+#: Random offsets that are tried.
+DRAWS = 64
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_repeats: float = 3.0) -> DataFrame:
@@ -87,27 +86,31 @@ def mix_sources(
     rows = rows.join(targets, by_source, "left").select(rows["*"], "docs", "source_size", "target")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
     buckets = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("docs") / ROWS_PER_BUCKET)).cast("long")
+    rows = rows.select("*", h.alias("h"), F.pmod(F.shiftright(h, 7), buckets).alias("bucket"))
+    # A key that is never null, and differs between a null and any string.
+    rows = rows.withColumn("skey", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
+    cells = rows.groupBy("skey", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("skey", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
+    rows = rows.withColumn("place", F.row_number().over(within)).join(cells, ["skey", "bucket"])
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     rows = rows.select(
-        "*",
-        h.alias("h"),
-        F.floor(F.log2(F.col("size") + 1) * CLASSES_PER_DOUBLING).cast("int").alias("cls"),
-        F.pmod(F.shiftright(h, 7), buckets).alias("bucket"),
+        "doc_id", "source", "size", "source_size", "target", "skey", (F.col("first") + F.col("place")).alias("rank"), rate.alias("rate")
     )
-    # xxhash64 of a null is that of nothing: keys below never hold a null.
-    rows = rows.withColumn("skey", F.concat_ws("", F.when(F.col("source").isNull(), "n").otherwise("s"), F.col("source")))
-    cells = rows.groupBy("skey", "cls", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    classes = cells.groupBy("skey", "cls").agg(F.sum("n").alias("n"))
-    above = Window.partitionBy("skey").orderBy(F.desc("cls")).rowsBetween(Window.unboundedPreceding, -1)
-    classes = classes.select("skey", "cls", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("class_rank"))
-    ahead = Window.partitionBy("skey", "cls").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("skey", "cls", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("cell_rank"))
-    cells = cells.join(classes, ["skey", "cls"]).select("skey", "cls", "bucket", (F.col("class_rank") + F.col("cell_rank")).alias("first"))
-    within = Window.partitionBy("skey", "cls", "bucket").orderBy(F.desc("size"), "h", "doc_id")
-    rows = rows.withColumn("place", F.row_number().over(within)).join(cells, ["skey", "cls", "bucket"])
-    rank = F.col("first") + F.col("place")
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    offset = _uniform(seed, F.col("skey"))
-    crossed = F.floor(rank * rate + offset) - F.floor((rank - 1) * rate + offset)
-    # Rounding of the sums may carry one integer too far where the rate is the cap itself.
-    copies = F.least(crossed, F.lit(int(most_repeats))).cast("long")
-    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
+    rows = materialize(rows, "mix-ranks")
+
+    def copies(offset: Column) -> Column:
+        crossed = F.floor(F.col("rank") * F.col("rate") + offset) - F.floor((F.col("rank") - 1) * F.col("rate") + offset)
+        # Rounding of the sums may carry one integer too far where the rate is the cap itself.
+        return F.least(crossed, F.lit(int(most_repeats))).cast("long")
+
+    offsets = [F.lit(k) for k in range(DRAWS)]
+    draws = rows.groupBy("skey", "target").agg(
+        *[F.sum(copies(_uniform(seed, F.concat("skey", o))) * F.col("size")).alias(f"words{k}") for k, o in enumerate(offsets)]
+    )
+    best = F.least(*[F.struct(F.abs(F.col(f"words{k}") - F.col("target")).alias("miss"), o.alias("draw")) for k, o in enumerate(offsets)])
+    chosen = materialize(draws.select("skey", _uniform(seed, F.concat("skey", best["draw"])).alias("offset")), "mix-offsets")
+    rows = rows.join(chosen, "skey")
+    rows = rows.withColumn("copies", copies(F.col("offset")))
+    return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
