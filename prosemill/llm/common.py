@@ -58,7 +58,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 def plan_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of ``df``; the size of the files for a plain scan."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import text_or_empty
+from prosemill.llm.common import materialize, text_or_empty
 
 
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "smallest") -> DataFrame:
@@ -29,7 +29,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(text)).alias("h"), text.alias("t"))
     slim = rows.select("doc_id", "h", F.unhex(F.sha2("t", 256)).alias("s"))
-    shared = slim.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h")
+    # The few hashes that rows share are written out: as a scan on its own they are either small
+    # enough to be sent to all executors, or dealt anew, so that a hot hash can be split.
+    shared = materialize(slim.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h"), "exact-hashes")
     # The slim side is the one that is hashed; the texts are streamed past it and never sorted.
     suspects = rows.join(shared.hint("shuffle_hash"), "h", "left_semi")
     same = (
@@ -46,6 +48,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         "group_size",
         F.when(F.col("variants") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two hashes collide")).cast("long")),
     ).select("h", "s", "group_size", "keep_id")
+    same = materialize(same, "exact-groups")
     grouped = F.col("group_size").isNotNull()
     keep_id = F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id"))
     return slim.join(same, ["h", "s"], "left").select(

@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from prosemill.llm.common import table
 from prosemill.llm.exact import exact_groups
 from prosemill.llm.mixing import mix_sources
+from prosemill.llm.packing import pack_documents
+from prosemill.llm.sstable import token_tables
+from prosemill.llm.token_counts import count_tokens
 from prosemill.llm.url_rules import judge_urls
 
 #: The rule list of the query op5.
@@ -21,6 +24,25 @@ URL_RULES = [
 ]
 
 
+def vocabulary(name: str) -> str:
+    """Path of a public tokenizer's file, the same on driver and executors."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"), limit=4096)
+
+
+def op10_token_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_tables(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=2)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
@@ -34,9 +56,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_pack_sequences": op2_pack_sequences,
+    "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_token_tables": op10_token_tables,
 }
 
 ORACLES: dict[str, str] = {
