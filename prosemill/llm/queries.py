@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from prosemill.llm.common import table
 from prosemill.llm.exact import exact_groups
+from prosemill.llm.minhash import near_duplicates
 from prosemill.llm.mixing import mix_sources
 from prosemill.llm.packing import pack_documents
 from prosemill.llm.sstable import token_tables
@@ -31,6 +32,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), percent=85)
+
+
 def op2_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), size=2048, end_id=0)
 
@@ -56,6 +61,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_dedup": op1_near_dedup,
     "op2_pack_sequences": op2_pack_sequences,
     "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
