@@ -32,8 +32,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     # The few hashes that rows share are written out: as a scan on its own they are either small
     # enough to be sent to all executors, or dealt anew, so that a hot hash can be split.
     shared = materialize(slim.groupBy("h").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("h"), "exact-hashes")
-    # The slim side is the one that is hashed; the texts are streamed past it and never sorted.
-    suspects = rows.join(shared.hint("shuffle_hash"), "h", "left_semi")
+    suspects = rows.join(shared, "h", "left_semi")
     same = (
         suspects.groupBy("h", "t")
         .agg(F.count(F.lit(1)).alias("group_size"), best("doc_id").alias("keep_id"))

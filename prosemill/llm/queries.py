@@ -11,6 +11,7 @@ from prosemill.llm.exact import exact_groups
 from prosemill.llm.minhash import near_duplicates
 from prosemill.llm.mixing import mix_sources
 from prosemill.llm.packing import pack_documents
+from prosemill.llm.secrets import find_secrets
 from prosemill.llm.sstable import token_tables
 from prosemill.llm.token_counts import count_tokens
 from prosemill.llm.url_rules import judge_urls
@@ -56,6 +57,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_token_counts": op3_token_counts,
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
+    "op6_secret_scan": op6_secret_scan,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_tables": op10_token_tables,
 }
