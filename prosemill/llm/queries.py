@@ -11,6 +11,8 @@ from prosemill.llm.exact import exact_groups
 from prosemill.llm.minhash import near_duplicates
 from prosemill.llm.mixing import mix_sources
 from prosemill.llm.packing import pack_documents
+from prosemill.llm.quality_rules import apply_quality_rules
+from prosemill.llm.ranking import learn, score_documents
 from prosemill.llm.secrets import find_secrets
 from prosemill.llm.sstable import token_tables
 from prosemill.llm.token_counts import count_tokens
@@ -61,6 +63,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op7_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, learn(docs, table(spark, sf_dir, "labels")))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return apply_quality_rules(table(spark, sf_dir, "documents"), trusted)
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"), keep="largest")
 
@@ -72,6 +84,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_url_filter": op5_url_filter,
     "op6_secret_scan": op6_secret_scan,
+    "op7_quality_ranking": op7_quality_ranking,
+    "op8_quality_rules": op8_quality_rules,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_token_tables": op10_token_tables,
 }
