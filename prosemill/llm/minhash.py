@@ -41,8 +41,8 @@ BANDS, ROWS = 25, 5
 COORDINATES = 192
 #: Members up to which a bucket proposes all pairs.
 SMALL_BUCKET = 24
-#: Members of a large bucket that choose a central one together.
-CHUNK = 50_000
+#: Members of a large bucket that are looked at together.
+CHUNK = 20_000
 #: Standard deviations that an estimate may lie below the threshold.
 SPREAD = 5.5
 _MASK = (1 << 64) - 1
@@ -219,26 +219,35 @@ def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, threshold:
     # Without enough shingles that any other member has, a member has no link here.
     rows = rows.where(F.col("shared") * 100 >= F.col("n") * percent)
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rows = rows.join(split, "key", "left_semi").select("key", "node", "n", "shared", "component", "sig")
+    rows = rows.join(split, "key", "left_semi")
+    # Two chunks meet in one group, so a group is bounded however large the bucket is.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select(
+        "key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "shared", "component", "sig"
+    )
     least = _least_agreement(threshold) * COORDINATES
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, n, shared, part = (pdf[c].to_numpy() for c in ("node", "n", "shared", "component"))
+        node, n, shared, part, chunk = (pdf[c].to_numpy() for c in ("node", "n", "shared", "component", "chunk"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
-        values, at, counts = np.unique(part, return_inverse=True, return_counts=True)
-        # Members of the largest component need no search of their own: the others search for them.
-        searching = np.flatnonzero(at != counts.argmax())
+        band, across = int(pdf["band"].iloc[0]), pdf["low"].iloc[0] != pdf["high"].iloc[0]
+        _, at, counts = np.unique(part, return_inverse=True, return_counts=True)
         found_a, found_b = [], []
-        for x in searching:
+        # Members of the largest component need no search of their own: the others search for them.
+        for x in np.flatnonzero(at != counts.argmax()):
             common = np.minimum(shared, shared[x])
             may = (100 * common >= percent * (n + n[x] - common)) & (part != part[x])
-            may = np.flatnonzero(may)
-            near = may[(sig[may] == sig[x]).sum(axis=1) >= least]
+            may = np.flatnonzero(may & (chunk != chunk[x]) if across else may)
+            same = sig[may] == sig[x]
+            near = same.sum(axis=1) >= least
+            # A pair is proposed in the first band that it shares, be that bucket small or large.
+            bands = same[near][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
+            near = may[near][bands.argmax(axis=1) == band]
             found_a += [node[x]] * len(near)
             found_b += node[near].tolist()
         return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
 
-    return rows.groupBy("key").applyInPandas(pairs, "a long, b long")
+    return rows.groupBy("key", "low", "high").applyInPandas(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -263,7 +272,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     own = sketches.select(F.col("doc_id").alias("node"), "set_hash", "n", "bands", "sig")
     nodes = materialize(own.join(classes, ["set_hash", "node"], "left_semi").dropDuplicates(["set_hash"]).select("node", "n", "bands", "sig"), "nodes")
 
-    postings = nodes.select(F.explode("bands").alias("key"), "node", "n")
+    postings = nodes.select(F.posexplode("bands").alias("band", "key"), "node", "n")
     buckets = postings.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     met = materialize(postings.join(materialize(buckets, "buckets"), "key"), "postings")
     small = met.where(F.col("members") <= SMALL_BUCKET).groupBy("key").agg(F.collect_list(F.struct("node", "n")).alias("m"))
@@ -271,7 +280,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     close = small.select(F.explode(F.filter(pair, lambda p: F.size(p["bs"]) > 0)).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
     large = met.where(F.col("members") > SMALL_BUCKET).join(nodes.select("node", "sig"), "node")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK).cast("long"))
-    large = materialize(large.select("key", "node", "n", "sig", chunk.alias("chunk")), "large-buckets")
+    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
+    large = materialize(large.select("key", "band", "node", "n", "sig", chunk.cast("int").alias("chunk"), chunks.alias("chunks")), "large-buckets")
     sigs = nodes.select("node", "sig")
     pairs = materialize(_agreeing(_ordered(close.union(_central(large, percent))), sigs, threshold), "pairs")
 
