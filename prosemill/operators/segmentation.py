@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions.spans import laid_out, normalized
+from prosemill.functions.spans import laid_out, let, normalized
 from prosemill.operators import markup
 
 SENTENCE = "struct<start:int,end:int,source:string,masked:string,text:string>"
@@ -43,8 +43,7 @@ BOUNDARY = (
 def _pieces(source: Column) -> Column:
     """Spans of the sentences of a text without markup, trimmed, relative to it."""
     marked = F.regexp_replace(source, BOUNDARY, "$0\u0001")
-    parts = F.split(marked, "\u0001", -1)
-    spans = laid_out(F.transform(parts, lambda _: F.lit("")), parts)
+    spans = let(F.split(marked, "\u0001", -1), lambda parts: laid_out(F.array_repeat(F.lit(""), F.size(parts)), parts))
     left = lambda s: F.length(s["m"]) - F.length(F.regexp_replace(s["m"], r"^\s+", ""))
     inner = lambda s: F.regexp_replace(s["m"], r"^\s+|\s+\z", "")
     cut = F.transform(spans, lambda s: F.struct((s["start"] + left(s)).alias("start"), (s["start"] + left(s) + F.length(inner(s))).alias("end"), inner(s).alias("m")))
@@ -57,7 +56,10 @@ def _native(text: Column) -> Column:
     blocks = F.filter(laid_out(gaps, F.regexp_extract_all(text, F.lit(_BLOCK), F.lit(0))), lambda b: b["start"] < b["end"])
 
     def paragraph(b: Column) -> Column:
-        source = F.regexp_replace(b["m"], r"\s+\z", "")
+        return let(F.struct(b["start"].alias("start"), F.regexp_replace(b["m"], r"\s+\z", "").alias("source")), whole)
+
+    def whole(b: Column) -> Column:
+        source = b["source"]
         sentence = lambda s: F.struct(
             (b["start"] + s["start"]).alias("start"), (b["start"] + s["end"]).alias("end"), s["m"].alias("source"), s["m"].alias("masked"), normalized(s["m"]).alias("text")
         )

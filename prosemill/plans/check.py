@@ -1,56 +1,61 @@
 """``check``: documents and a pack to located, numbered findings.
 
-Segments and hits meet by document id. A hit belongs to the smallest segment that holds it: the
-sentence, else the paragraph, else the document. Segments of a document are kept as an array in
-order, and the candidate is the last one that begins at or before the hit; so locating is one join
-by document and no range join.
+A hit belongs to the smallest segment that holds it: the sentence, else the paragraph, else the
+document. Segments and hits of a document are sorted together by place; the candidate is the last
+segment that begins at or before the hit. That is one shuffle by document, no range join, and no
+text of a document beside every hit.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from prosemill.functions.spans import let, normalized, utf16_length, utf16_offset
+from prosemill.functions.spans import find_spans, normalized, utf16_length, utf16_offset
 from prosemill.operators.segmentation import Segmented, segment
 from prosemill.plans.rules import rule_hits
 from prosemill.sources.packs import Pack
 
 SEPARATOR = "\u001f"
+ASTRAL = r"[\x{10000}-\x{10FFFF}]"
 
 
 def locate(hits: DataFrame, seg: Segmented) -> DataFrame:
     """``hits`` with the located segment: ``segment_kind, segment_id, segment_source, segment_start``."""
-    rows = seg.rows()
-    entry = F.struct("start", "end", "id", "source")
-    of = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, entry)))
-    places = rows.where("kind != 'document'").groupBy("doc_id").agg(of("sentence").alias("ss"), of("paragraph").alias("ps"))
-    every = hits.join(seg.nested.select("doc_id", F.col("text").alias("doc_text")), "doc_id").join(places, "doc_id", "left")
-
-    def holding(segments: str) -> Column:
-        before = F.filter(F.col(segments), lambda s: s["start"] <= F.col("start"))
-        last = let(before, lambda b: F.get(b, F.size(b) - 1))
-        return let(last, lambda s: F.when(s["end"] >= F.col("end"), s))
-
-    every = every.withColumns({"in_s": holding("ss"), "in_p": holding("ps")}).drop("ss", "ps")
+    place = F.struct("start", "end", "id", "source")
+    rows = seg.rows().where("kind != 'document'")
+    of = lambda kind: F.when(F.col("kind") == kind, place).alias(kind)
+    rows = rows.select("doc_id", F.col("start").alias("at"), F.lit(0).alias("is_hit"), of("sentence"), of("paragraph"))
+    marks = hits.select("doc_id", F.col("start").alias("at"), F.lit(1).alias("is_hit"), F.struct(*[c for c in hits.columns if c != "doc_id"]).alias("hit"))
+    every = rows.unionByName(marks, allowMissingColumns=True)
+    before = Window.partitionBy("doc_id").orderBy("at", "is_hit").rowsBetween(Window.unboundedPreceding, 0)
+    held = lambda c: F.last(c, ignorenulls=True).over(before)
+    every = every.withColumns({"sentence": held("sentence"), "paragraph": held("paragraph")}).where("is_hit = 1")
+    inside = lambda c: F.when(F.col(f"{c}.end") >= F.col("hit.end"), F.col(c))
+    every = every.withColumns({"in_s": inside("sentence"), "in_p": inside("paragraph")})
     inner = F.coalesce("in_s", "in_p")
     kind = F.when(F.col("in_s").isNotNull(), "sentence").when(F.col("in_p").isNotNull(), "paragraph").otherwise("document")
-    return every.withColumns(
-        {"segment_kind": kind, "segment_id": F.coalesce(inner["id"], F.lit("doc")), "segment_source": F.coalesce(inner["source"], F.lit("")), "segment_start": F.coalesce(inner["start"], F.lit(0))}
-    ).drop("in_s", "in_p")
+    return every.select(
+        "doc_id", "hit.*", kind.alias("segment_kind"), F.coalesce(inner["id"], F.lit("doc")).alias("segment_id"), F.coalesce(inner["source"], F.lit("")).alias("segment_source"),
+        F.coalesce(inner["start"], F.lit(0)).alias("segment_start"),
+    )
 
 
 def findings(hits: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
     """Findings with ids that depend on the finding's own text alone, so they survive edits elsewhere."""
     rows = locate(hits, seg)
-    cut = F.substr("doc_text", F.col("start") + 1, F.col("end") - F.col("start"))
-    rows = rows.withColumn("excerpt", F.when(F.col("segment_kind") == "document", "").otherwise(cut))
+    rows = rows.withColumn("excerpt", F.substr("segment_source", F.col("start") - F.col("segment_start") + 1, F.col("end") - F.col("start")))
     rows = rows.withColumn("excerpt_text", normalized(F.col("excerpt")))
     same = Window.partitionBy("doc_id", "policy_id", "detector_id", "segment_id", "excerpt_text").orderBy("start", "end")
     rows = rows.withColumn("occurrence", F.row_number().over(same) - 1)
     key = F.concat_ws(SEPARATOR, "policy_id", "detector_id", normalized(F.col("segment_source")), "excerpt_text", F.col("occurrence").cast("string"))
     level = F.create_map(*[F.lit(x) for p in pack.policies for x in (p.id, p.severity)]) if pack.policies else F.lit(None)
     version = F.create_map(*[F.lit(x) for p in pack.policies for x in (p.id, p.version)]) if pack.policies else F.lit(None)
+    # Places of characters that take two UTF-16 units; most documents have none and send no row.
+    wide = seg.nested.where(F.col("text").rlike(ASTRAL)).select("doc_id", F.transform(find_spans(F.col("text"), ASTRAL), lambda s: s["start"]).alias("wide"))
+    rows = rows.join(wide, "doc_id", "left")
+    u16 = lambda c: F.when(F.col("wide").isNull(), F.col(c)).otherwise(F.col(c) + F.size(F.filter("wide", lambda w: w < F.col(c))))
     extra = [c for c in ("status", "probability", "raw_probability") if c in rows.columns]
     return rows.select(
         "doc_id",
@@ -63,8 +68,8 @@ def findings(hits: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
         "segment_kind",
         "start",
         "end",
-        utf16_offset(F.col("doc_text"), F.col("start")).alias("u16_start"),
-        utf16_offset(F.col("doc_text"), F.col("end")).alias("u16_end"),
+        u16("start").alias("u16_start"),
+        u16("end").alias("u16_end"),
         "excerpt",
         "excerpt_text",
         "occurrence",
@@ -74,17 +79,22 @@ def findings(hits: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
     )
 
 
+def shared(seg: Segmented) -> Segmented:
+    """Segments that several parts of a plan read: they are computed once, and spill to disk."""
+    seg.nested.persist(StorageLevel.MEMORY_AND_DISK)
+    return seg
+
+
 def check(docs: DataFrame, pack: Pack, fmt: str = "text", id_col: str = "doc_id", text_col: str = "text", segmented: Segmented | None = None) -> DataFrame:
     """Findings of a pack's rules lane over ``docs``."""
-    seg = segmented or segment(docs, fmt, id_col, text_col)
+    seg = segmented or shared(segment(docs, fmt, id_col, text_col))
     return findings(rule_hits(seg, pack), seg, pack)
 
 
 def results(docs: DataFrame, pack: Pack, fmt: str = "text") -> DataFrame:
     """``doc_id, result``: one JSON document for each text, as a check of that text alone gives."""
-    seg = segment(docs, fmt)
+    seg = shared(segment(docs, fmt))
     found = check(docs, pack, fmt, segmented=seg)
-    offset = lambda c: utf16_offset(F.col("text"), F.col(f"x.{c}"))
     per = found.groupBy("doc_id").agg(
         F.array_sort(
             F.collect_list(
