@@ -14,7 +14,8 @@ coordinates, and the ranks that one shingle adds to all of them lie side by side
    components.
 5. Large buckets whose members ended in different components are looked at again: members of
    different components, unless the shingles that each has to itself among all of these members
-   already rule the link out, or the signatures do. These pairs are confirmed too.
+   already rule the link out, or the signatures do. Such members get signatures of more coordinates
+   of the same ring, so that few pairs below the threshold are left. These are confirmed too.
 6. Every row gets the smallest id of its component.
 """
 
@@ -39,6 +40,8 @@ RING = 1 << 20
 BANDS, ROWS = 25, 5
 #: Coordinates of a signature, those beyond BANDS * ROWS only for estimates.
 COORDINATES = 192
+#: Coordinates of the signatures that decide what is compared with what in large buckets.
+WIDE_COORDINATES = 1024
 #: Members up to which a bucket proposes all pairs.
 SMALL_BUCKET = 24
 #: Members of a large bucket that are looked at together.
@@ -85,14 +88,14 @@ def shingles(text: str, width: int = 5) -> np.ndarray:
 
 @lru_cache(maxsize=1)
 def _ring() -> np.ndarray:
-    """Row i: the ranks of the places i, i + 1, ... up to the number of coordinates."""
+    """Row i: the ranks of the places i, i + 1, ... up to the most coordinates."""
     ranks = np.random.Generator(np.random.PCG64(20240)).permutation(RING).astype(np.uint32)
-    closed = np.concatenate([ranks, ranks[:COORDINATES]])
-    return np.lib.stride_tricks.sliding_window_view(closed, COORDINATES)
+    closed = np.concatenate([ranks, ranks[:WIDE_COORDINATES]])
+    return np.lib.stride_tricks.sliding_window_view(closed, WIDE_COORDINATES)
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    ring, best = _ring(), np.full(COORDINATES, RING, np.uint32)
+def signature(hashes: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    ring, best = _ring()[:, :coordinates], np.full(coordinates, RING, np.uint32)
     places = (_mix(hashes + np.uint64(0x632BE59BD9B4E019)) >> np.uint64(44)).astype(np.int64)
     for k in range(0, len(places), 512):
         np.minimum(best, ring[places[k : k + 512]].min(axis=0), out=best)
@@ -107,8 +110,9 @@ def band_keys(sig: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _least_agreement(threshold: float) -> float:
-    return threshold - SPREAD * (threshold * (1 - threshold) / COORDINATES) ** 0.5
+def _least_agreement(threshold: float, coordinates: int = COORDINATES) -> float:
+    """Coordinates in which two documents at the threshold agree, less the spread of the estimate."""
+    return (threshold - SPREAD * (threshold * (1 - threshold) / coordinates) ** 0.5) * coordinates
 
 
 def sketch(docs: DataFrame, width: int) -> DataFrame:
@@ -148,6 +152,18 @@ def full_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.mapInArrow(run, "node long, hashes binary")
 
 
+def _wide(sets: DataFrame) -> DataFrame:
+    """``node, wide``: the low bytes of the wide signatures of full sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = (signature(np.frombuffer(x.as_buffer(), np.uint64), WIDE_COORDINATES) for x in batch.column("hashes"))
+            wide = pa.array([sig.astype(np.uint8).tobytes() for sig in sigs], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("node"), wide], names=["node", "wide"])
+
+    return sets.mapInArrow(run, "node long, wide binary")
+
+
 def _fits(a: Column, b: Column, percent: int) -> Column:
     """Can sets of these sizes be similar enough?"""
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
@@ -155,7 +171,7 @@ def _fits(a: Column, b: Column, percent: int) -> Column:
 
 def _agreeing(pairs: DataFrame, sigs: DataFrame, threshold: float) -> DataFrame:
     """The pairs ``a, b`` whose signatures agree enough."""
-    least = _least_agreement(threshold) * COORDINATES
+    least = _least_agreement(threshold)
     both = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a")
     both = both.join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
 
@@ -212,24 +228,27 @@ def _central(large: DataFrame, percent: int) -> DataFrame:
     return stars.select("a", "b").union(middles.join(first, "key").select("a", "b"))
 
 
-def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, threshold: float, percent: int) -> DataFrame:
+def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
     """``a, b``: members of one large bucket in different components that may yet be linked."""
     rows = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     # Without enough shingles that any other member has, a member has no link here.
     rows = rows.where(F.col("shared") * 100 >= F.col("n") * percent)
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rows = rows.join(split, "key", "left_semi")
+    rows = materialize(rows.join(split, "key", "left_semi"), "undecided")
+    wide = materialize(_wide(sets.join(rows.select("node").distinct(), "node", "left_semi")), "wide")
+    rows = rows.join(wide, "node")
     # Two chunks meet in one group, so a group is bounded however large the bucket is.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select(
-        "key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "shared", "component", "sig"
+        "key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "shared", "component", "sig", "wide"
     )
-    least = _least_agreement(threshold) * COORDINATES
+    least, least_wide = _least_agreement(threshold), _least_agreement(threshold, WIDE_COORDINATES)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
         node, n, shared, part, chunk = (pdf[c].to_numpy() for c in ("node", "n", "shared", "component", "chunk"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
+        wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), WIDE_COORDINATES)
         band, across = int(pdf["band"].iloc[0]), pdf["low"].iloc[0] != pdf["high"].iloc[0]
         _, at, counts = np.unique(part, return_inverse=True, return_counts=True)
         found_a, found_b = [], []
@@ -243,6 +262,7 @@ def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, threshold:
             # A pair is proposed in the first band that it shares, be that bucket small or large.
             bands = same[near][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
             near = may[near][bands.argmax(axis=1) == band]
+            near = near[(wide[near] == wide[x]).sum(axis=1) >= least_wide]
             found_a += [node[x]] * len(near)
             found_b += node[near].tolist()
         return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
@@ -296,7 +316,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     members = large.select("node").distinct()
     unpacked = sets.join(members, "node").select("node", F.explode(_longs(F.col("hashes"))).alias("s"))
     alone = unpacked.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    more = _ordered(_undecided(large, labels, alone, threshold, percent)).join(pairs, ["a", "b"], "left_anti")
+    more = _ordered(_undecided(large, labels, alone, sets, threshold, percent)).join(pairs, ["a", "b"], "left_anti")
     more = materialize(more, "more-pairs")
     found = materialize(_confirmed(more, sets, percent), "more-links")
     if not found.isEmpty():
