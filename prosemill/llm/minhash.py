@@ -228,8 +228,11 @@ def _central(large: DataFrame, percent: int) -> DataFrame:
     return stars.select("a", "b").union(middles.join(first, "key").select("a", "b"))
 
 
-def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
-    """``a, b``: members of one large bucket in different components that may yet be linked."""
+def _undecided(large: DataFrame, bands: DataFrame, labels: DataFrame, alone: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
+    """``a, b``: members of one large bucket in different components that may yet be linked.
+
+    ``bands``: ``node, bands``, the keys of all of a node's buckets.
+    """
     rows = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     # Without enough shingles that any other member has, a member has no link here.
@@ -237,11 +240,11 @@ def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, sets: Data
     split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
     rows = materialize(rows.join(split, "key", "left_semi"), "undecided")
     wide = materialize(_wide(sets.join(rows.select("node").distinct(), "node", "left_semi")), "wide")
-    rows = rows.join(wide, "node")
+    rows = rows.join(wide.join(bands, "node"), "node")
     # Two chunks meet in one group, so a group is bounded however large the bucket is.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     rows = rows.select(
-        "key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "shared", "component", "sig", "wide"
+        "key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "shared", "component", "sig", "wide", "bands"
     )
     least, least_wide = _least_agreement(threshold), _least_agreement(threshold, WIDE_COORDINATES)
 
@@ -249,6 +252,7 @@ def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, sets: Data
         node, n, shared, part, chunk = (pdf[c].to_numpy() for c in ("node", "n", "shared", "component", "chunk"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
         wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), WIDE_COORDINATES)
+        keys = np.stack(pdf["bands"])
         band, across = int(pdf["band"].iloc[0]), pdf["low"].iloc[0] != pdf["high"].iloc[0]
         _, at, counts = np.unique(part, return_inverse=True, return_counts=True)
         found_a, found_b = [], []
@@ -257,11 +261,10 @@ def _undecided(large: DataFrame, labels: DataFrame, alone: DataFrame, sets: Data
             common = np.minimum(shared, shared[x])
             may = (100 * common >= percent * (n + n[x] - common)) & (part != part[x])
             may = np.flatnonzero(may & (chunk != chunk[x]) if across else may)
-            same = sig[may] == sig[x]
-            near = same.sum(axis=1) >= least
-            # A pair is proposed in the first band that it shares, be that bucket small or large.
-            bands = same[near][:, : BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
-            near = may[near][bands.argmax(axis=1) == band]
+            near = may[(sig[may] == sig[x]).sum(axis=1) >= least]
+            # A pair is proposed in the first band that it shares, be that bucket small or large. The
+            # keys tell: low bytes may agree in a band whose bucket the two don't share.
+            near = near[(keys[near] == keys[x]).argmax(axis=1) == band]
             near = near[(wide[near] == wide[x]).sum(axis=1) >= least_wide]
             found_a += [node[x]] * len(near)
             found_b += node[near].tolist()
@@ -316,7 +319,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     members = large.select("node").distinct()
     unpacked = sets.join(members, "node").select("node", F.explode(_longs(F.col("hashes"))).alias("s"))
     alone = unpacked.groupBy("s").agg(F.count(F.lit(1)).alias("df"), F.min("node").alias("node")).where("df = 1").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-    more = _ordered(_undecided(large, labels, alone, sets, threshold, percent)).join(pairs, ["a", "b"], "left_anti")
+    more = _ordered(_undecided(large, nodes.select("node", "bands"), labels, alone, sets, threshold, percent)).join(pairs, ["a", "b"], "left_anti")
     more = materialize(more, "more-pairs")
     found = materialize(_confirmed(more, sets, percent), "more-links")
     if not found.isEmpty():

@@ -117,3 +117,38 @@ def test_components_of_chains_and_hubs(spark):
     nodes = {x for e in edges for x in e} - {3}
     want = reachable(nodes, [e for e in edges if e[0] != e[1]])
     assert got == want
+
+
+def false_bands(count, seed=5):
+    """Groups of texts of single-word shingles, each led by a linked pair that meets only in large buckets.
+
+    In a band before the first that the pair shares, all low bytes of its signatures agree. The other
+    texts of a group hold the common words with the smallest ranks, so that they share the pair's buckets.
+    """
+    rng = random.Random(seed)
+    groups, serial = [], 0
+    while len(groups) < count:
+        common = [f"c{serial}x{k}" for k in range(190)]
+        pair = [common + [f"{side}{serial}x{k}" for k in range(15)] for side in "ab"]
+        serial += 1
+        sigs = [minhash.signature(minhash.shingles(" ".join(w), 1))[: minhash.BANDS * minhash.ROWS] for w in pair]
+        rows = [s.reshape(minhash.BANDS, minhash.ROWS) for s in sigs]
+        true, low = (rows[0] == rows[1]).all(axis=1), (rows[0].astype(np.uint8) == rows[1].astype(np.uint8)).all(axis=1)
+        if low.argmax() >= true.argmax():
+            continue
+        ranks = {w: minhash.signature(minhash.shingles(w, 1))[: minhash.BANDS * minhash.ROWS] for w in common}
+        shared = sigs[0] == sigs[1]
+        needed = [w for w in common if (ranks[w] == sigs[0])[shared].any()]
+        rest = [w for w in common if w not in needed]
+        others = [needed + rng.sample(rest, 4) for _ in range(minhash.SMALL_BUCKET + 6)]
+        groups.append([" ".join(w) for w in pair + others])
+    return groups
+
+
+def test_low_bytes_that_agree_in_a_band_not_shared(spark):
+    rows = list(enumerate(t for group in false_bands(4) for t in group))
+    sets = {k: set(t.split()) for k, t in rows}
+    near = lambda x, y: 100 * len(x & y) >= 85 * len(x | y)
+    want = reachable(list(sets), [(a, b) for a in sets for b in sets if a < b and near(sets[a], sets[b])])
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(documents(spark, rows), percent=85, width=1).collect()}
+    assert got == want
