@@ -5,15 +5,20 @@ Its encoding is inferred from the signs it holds, and under that alphabet's unif
 tested four ways: chi-squared over single signs, chi-squared over classes of signs, the number of
 runs above and below the alphabet's middle, and the correlation of neighbours. A key passes all.
 
-Short strings pass such tests by chance, however ordinary they are. So the corpus itself says, for
-each class of lengths, how uneven ordinary words of that length are: the runs made of letters of
-one case alone, of which none is ever reported. Against that law each other candidate gets the
-probability that an ordinary word is as even as it, and the Benjamini-Hochberg rule in its class of
-lengths keeps the share of false reports below ``fdr``.
+Short strings pass such tests by chance, however ordinary they are. So each candidate is also held
+against a fixed law of ordinary strings: words of a language in one case or with capitals, joined by
+numbers and ``+/_-``, as a chain over the kinds of signs with a frequency for each letter. If a string
+follows that law, its probability under the alphabet's uniform law exceeds that under the ordinary one
+t times with a probability of at most 1 / t (Markov), at every length and without an estimate. The
+inverse of this ratio, times the number of alphabets, is the probability that goes into the
+Benjamini-Hochberg rule in a class of lengths, which keeps the share of false reports below ``fdr`` as
+far as ordinary strings follow the law. Runs of letters of one case alone are never reported.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,6 +39,15 @@ ALPHABETS = {
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
     "letters": "abcdefghijklmnopqrstuvwxyz",
 }
+#: The law of ordinary strings. Kinds of signs are capitals, small letters, digits, others.
+KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", "+/_-"]
+FIRST_KIND = [0.25, 0.55, 0.1, 0.1]
+NEXT_KIND = [[0.62, 0.23, 0.05, 0.1], [0.03, 0.84, 0.03, 0.1], [0.04, 0.04, 0.72, 0.2], [0.2, 0.55, 0.15, 0.1]]
+#: Letters a to z in a thousand of English ones, mixed with an even share for other languages.
+LETTERS = [82, 15, 28, 43, 127, 22, 20, 61, 70, 1.5, 8, 40, 24, 67, 75, 19, 1, 60, 63, 91, 28, 10, 24, 1.5, 20, 1]
+EVEN_SHARE = 0.15
+#: Uniform laws that an encoding is inferred from: hex and base36 in two cases, base32, base64.
+UNIFORM_LAWS = 6
 #: A class of lengths is a power of two; all lengths from 2 ** LONGEST are one class.
 LONGEST = 12
 #: A hundredth of a power of ten is the width of a bin of probabilities.
@@ -77,11 +91,29 @@ def _chi_z(chi: Column, freedom: Column) -> Column:
     return (F.cbrt(chi / freedom) - (1 - scale)) / F.sqrt(scale)
 
 
+def ordinary_law(s: Column) -> Column:
+    """Natural logarithm of a candidate's probability under the law of ordinary strings."""
+    numbers = lambda xs: F.split(F.lit(",".join(f"{x:.9f}" for x in xs)), ",").cast("array<double>")
+    letters = [math.log((1 - EVEN_SHARE) * x / sum(LETTERS) + EVEN_SHARE / 26) for x in LETTERS]
+    within = numbers([*letters, *letters, *[-math.log(10)] * 10, *[-math.log(4)] * 4])
+    # Row 0 is a string's start, row k what follows a sign of kind k - 1.
+    steps = numbers([math.log(x) for row in [FIRST_KIND, *NEXT_KIND] for x in row])
+    signs = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.instr(F.lit("".join(KINDS)), c) - 1)
+    kind = lambda v: F.when(v < 26, 0).when(v < 52, 1).when(v < 62, 2).otherwise(3)
+    start = F.struct(F.lit(0).alias("row"), F.lit(0.0).alias("sum"))
+
+    def add(acc: Column, v: Column) -> Column:
+        return F.struct((kind(v) + 1).alias("row"), (acc["sum"] + F.get(within, v) + F.get(steps, acc["row"] * 4 + kind(v))).alias("sum"))
+
+    return F.aggregate(signs, start, add, lambda acc: acc["sum"])
+
+
 def battery(s: Column) -> Column:
-    """``struct<n, encoding, ordinary, uneven, p>`` of a candidate string.
+    """``struct<n, encoding, ordinary, evidence, p>`` of a candidate string.
 
-    ``uneven``: its chi-squared over single signs as a normal value. ``p``: the smallest of the four
-    probabilities times four; small if it isn't random under its alphabet.
+    ``evidence``: minus the decimal logarithm of the probability that an ordinary string speaks as
+    much for its alphabet's uniform law. ``p``: the smallest of the four probabilities times four;
+    small if it isn't random under its alphabet.
     """
     ordinary = s.rlike("^[A-Z]?[a-z]+$") | s.rlike("^[A-Z]+$")
     encoding = (
@@ -95,7 +127,7 @@ def battery(s: Column) -> Column:
     alphabet = F.element_at(F.create_map(*[F.lit(x) for kv in ALPHABETS.items() for x in kv]), encoding)
     folded = F.when(encoding.isin("hex", "base36", "letters"), F.lower(s)).otherwise(F.translate(s, "-_", "+/"))
     # Each step's values are named before the next one uses them: lambdas are the only let.
-    first = F.struct(encoding.alias("e"), ordinary.alias("o"), alphabet.alias("a"), folded.alias("f"), F.length(s).cast("double").alias("n"))
+    first = F.struct(encoding.alias("e"), ordinary.alias("o"), alphabet.alias("a"), folded.alias("f"), F.length(s).cast("double").alias("n"), ordinary_law(s).alias("law"))
     return F.transform(F.array(first), _tested)[0]
 
 
@@ -115,7 +147,8 @@ def _tested(x: Column) -> Column:
     class_chi = F.aggregate(classes, F.lit(0.0), lambda acc, c: acc + (c["seen"] - c["due"]) * (c["seen"] - c["due"]) / c["due"])
     class_z = F.when(F.size(classes) > 1, _chi_z(class_chi, (F.size(classes) - 1).cast("double"))).otherwise(F.lit(0.0))
     values = F.transform(F.filter(F.split(x["f"], ""), lambda c: c != ""), lambda c: F.instr(x["a"], c).cast("double") - 1)
-    second = F.struct(x["e"].alias("e"), x["o"].alias("o"), n.alias("n"), k.alias("k"), chi.alias("chi"), class_z.alias("cls"), values.alias("v"))
+    evidence = (-n * F.log(k) - x["law"] - math.log(UNIFORM_LAWS)) / math.log(10)
+    second = F.struct(evidence.alias("evidence"), x["e"].alias("e"), x["o"].alias("o"), n.alias("n"), k.alias("k"), chi.alias("chi"), class_z.alias("cls"), values.alias("v"))
     return F.transform(F.array(second), _sequential)[0]
 
 
@@ -135,7 +168,7 @@ def _sequential(x: Column) -> Column:
     serial_z = F.when(around > 0, (along / F.greatest(around, F.lit(1e-9)) + 1 / n) * F.sqrt(n)).otherwise(F.lit(40.0))
     two = lambda z: 2 * normal_tail(F.abs(z))
     p = F.least(F.lit(1.0), 4 * F.least(normal_tail(x["chi"]), normal_tail(x["cls"]), two(runs_z), two(serial_z)))
-    return F.struct(x["n"].cast("int").alias("n"), x["e"].alias("encoding"), x["o"].alias("ordinary"), x["chi"].alias("uneven"), p.alias("p"))
+    return F.struct(x["n"].cast("int").alias("n"), x["e"].alias("encoding"), x["o"].alias("ordinary"), x["evidence"].alias("evidence"), p.alias("p"))
 
 
 def _length_class(n: Column) -> Column:
@@ -184,32 +217,21 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, fdr: float = 0.01, id_col
     rows = materialize(rows.select("doc_id", "base", tested.alias("tested")), "secrets")
 
     each = rows.select(F.explode("tested.b").alias("b")).select("b.*").withColumn("cls", _length_class(F.col("n")))
-    # At most LONGEST rows come to the driver here and below, whatever the input's size.
-    law = each.where("ordinary").groupBy("cls").agg(F.count(F.lit(1)).alias("words"), F.avg("uneven").alias("mean"), F.stddev_pop("uneven").alias("sd"))
-    laws = {r["cls"]: r for r in law.collect() if r["words"] >= 30}
-
-    def bin_of(uneven: Column, n: Column) -> Column:
-        """The bin of the probability that an ordinary word is this even or more."""
-        cls = _length_class(n)
-        # Without enough ordinary words the letters of a language, of which few are frequent, stand
-        # in: an index of coincidence of 0.066 against 1 / 26.
-        stand_in = _chi_z(25 + n * 0.716, F.lit(25.0))
-        known = cls.isin(*laws) if laws else F.lit(False)
-        middle = F.when(known, _by_class({k: r["mean"] for k, r in laws.items()}, cls, 0.0)).otherwise(stand_in)
-        width = F.when(known, _by_class({k: max(r["sd"], 0.5) for k, r in laws.items()}, cls, 1.5)).otherwise(F.lit(1.5))
-        p = F.greatest(normal_tail((middle - uneven) / width), F.lit(1e-29))
-        return F.least(F.floor(-F.log10(F.least(p, F.lit(1.0))) * BINS), F.lit(LEAST_BIN)).cast("int")
-
-    bins = each.where("not ordinary").groupBy("cls", bin_of(F.col("uneven"), F.col("n")).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
+
+    def bin_of(evidence: Column) -> Column:
+        return F.least(F.greatest(F.floor(evidence * BINS), F.lit(0)), F.lit(LEAST_BIN)).cast("int")
+
+    bins = each.where("not ordinary").groupBy("cls", bin_of(F.col("evidence")).alias("bin")).agg(F.count(F.lit(1)).alias("k"))
     up = Window.partitionBy("cls").orderBy(F.desc("bin"))
     ranked = bins.select("cls", "bin", F.sum("k").over(up).alias("rank"), F.sum("k").over(Window.partitionBy("cls")).alias("all"))
     least = ranked.where(F.pow(F.lit(10.0), -F.col("bin") / F.lit(float(BINS))) <= fdr * F.col("rank") / F.col("all"))
+    # At most LONGEST rows come to the driver, whatever the input's size.
     limits = {r["cls"]: r["bin"] for r in least.groupBy("cls").agg(F.min("bin").alias("bin")).collect()}
 
     def secret(c: Column) -> Column:
         b = c["b"]
         limit = _by_class(limits, _length_class(b["n"]), LEAST_BIN + 1)
-        return ~b["ordinary"] & (b["p"] > alpha) & (bin_of(b["uneven"], b["n"]) >= limit)
+        return ~b["ordinary"] & (b["p"] > alpha) & (bin_of(b["evidence"]) >= limit)
 
     random = F.transform(
         F.filter("tested", secret),

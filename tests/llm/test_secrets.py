@@ -51,3 +51,22 @@ def test_battery_finds_keys_and_leaves_words(spark):
     assert sum(got[k] for k in range(len(keys))) >= 0.85 * len(keys)
     assert sum(got[k] for k in range(len(keys), len(rows))) == 0
     assert find_secrets(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_battery_finds_short_keys_in_prose(spark):
+    rng = random.Random(12)
+    alphabets = {"base64": string.ascii_letters + string.digits + "+/", "base36": string.ascii_lowercase + string.digits, "base32": string.ascii_uppercase + "234567", "hex": "0123456789ABCDEF"}
+    kinds = [(a, n) for a in alphabets for n in (20, 32, 40)]
+    keys = [(kind, "".join(rng.choice(alphabets[kind[0]]) for _ in range(kind[1]))) for kind in kinds for _ in range(40)]
+    words = ["server", "configuration", "user", "data", "process", "manager", "english", "value", "index", "request", "handler", "the", "house", "water"]
+    joined = lambda: [rng.choice(words) for _ in range(rng.randrange(4, 8))]
+    shapes = [lambda: "-".join(joined()), lambda: "_".join(joined()).upper(), lambda: "/".join(joined()), lambda: "".join(w.title() for w in joined()), lambda: "_".join(joined()) + f"_{rng.randrange(10000)}"]
+    plain = [x for x in (rng.choice(shapes)() for _ in range(600)) if len(x) >= 20]
+    prose = lambda x: f"The water of the {x} was found in the house."
+    rows = [(k, prose(x)) for k, x in enumerate([x for _, x in keys] + plain)]
+    got = {r.doc_id: r.n_random for r in find_secrets(documents(spark, rows)).collect()}
+    for kind in kinds:
+        found = [got[k] for k, (of, _) in enumerate(keys) if of == kind]
+        print(kind, sum(found), len(found))
+        assert sum(found) >= 0.9 * len(found), kind
+    assert sum(got[k] for k in range(len(keys), len(rows))) == 0
