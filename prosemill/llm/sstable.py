@@ -29,14 +29,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import materialize, plan_bytes, shared_path, shuffle_partitions, text_or_empty
+from prosemill.llm.common import materialize, shared_path, shuffle_partitions, text_bytes, text_or_empty
 
 MAGIC = b"PMSSTAB1"
 FOOTER = struct.Struct("<QQQQIQQI8s")
 BLOCK_BYTES = 256 * 1024
 BLOOM_BITS, BLOOM_HASHES = 10, 7
-#: Bytes of input for each shard, about.
-SHARD_BYTES = 64 * 1024 * 1024
+#: Bytes of text for each shard, about; there are at most so many shards.
+SHARD_BYTES, MOST_SHARDS = 64 * 1024 * 1024, 1 << 20
+#: Signs of a text that deal out rows of one id.
+DEALT_BY = 64
 
 
 def key_of(doc_id: int | None) -> bytes:
@@ -192,11 +194,16 @@ class TableReader:
         return found
 
 
+#: Names that Hadoop has for stores, and those that pyarrow has for them.
+SCHEMES = {"s3a": "s3", "s3n": "s3", "abfs": "abfss", "wasb": "abfss", "wasbs": "abfss"}
+
+
 def _file(uri: str, write: bool = False):
     """A stream on any store that pyarrow knows, by URI."""
     from pyarrow import fs
 
-    store, path = fs.FileSystem.from_uri(uri)
+    scheme, colon, rest = uri.partition(":")
+    store, path = fs.FileSystem.from_uri(SCHEMES.get(scheme, scheme) + colon + rest)
     if write:
         store.create_dir(path.rpartition("/")[0], recursive=True)
         return store.open_output_stream(path)
@@ -211,8 +218,12 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shards:
     """Write ``docs`` as shards below ``out``; ``shard, path, n_docs, n_tokens`` of those that count.
 
     A task writes to a name of its own, so a task that is run again never touches the file of
-    another attempt; the manifest that is returned names the files of the attempts that succeeded.
+    another attempt; the manifest that is returned names the files of the attempts that succeeded,
+    and the others are removed. Rows of one id are dealt out by the beginnings of their texts, so
+    that an id of very many rows takes several shards.
     """
+    if not 1 <= shards <= MOST_SHARDS:
+        raise ValueError(f"shards must be from 1 to {MOST_SHARDS}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -234,12 +245,32 @@ def write_shards(docs: DataFrame, out: str, tokenizer: str, end_id: int, shards:
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [path], "n_docs": [len(writer.keys)], "n_tokens": [writer.tokens]})
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
-    ordered = rows.repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id", "t")
-    return materialize(ordered.mapInArrow(run, "shard long, path string, n_docs long, n_tokens long"), "sst-manifest")
+    rows = rows.withColumn("begins", F.substring("t", 1, DEALT_BY))
+    ordered = rows.repartitionByRange(shards, "doc_id", "begins").sortWithinPartitions("doc_id", "begins", "t")
+    written = ordered.select("doc_id", "t").mapInArrow(run, "shard long, path string, n_docs long, n_tokens long")
+    manifest = materialize(written, "sst-manifest")
+    _sweep(manifest, out)
+    return manifest
+
+
+def _sweep(manifest: DataFrame, out: str) -> None:
+    """Remove shards in ``out`` that no successful attempt wrote. At most MOST_SHARDS names are held."""
+    spark = manifest.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(out)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not store.exists(folder):
+        return
+    counted = {r["path"].rpartition("/")[2] for r in manifest.select("path").toLocalIterator()}
+    there = store.listStatusIterator(folder)
+    while there.hasNext():
+        path = there.next().getPath()
+        if path.getName().endswith(".sst") and path.getName() not in counted:
+            store.delete(path, False)
 
 
 def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     """``doc_id, start, n_tokens, ids_crc32`` and, if asked for, ``ids``, from the files."""
+    # A window without a key: one short row a shard, so at most MOST_SHARDS.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
     files = manifest.select("shard", "path", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("first"))
 
@@ -264,13 +295,16 @@ def read_shards(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
     return files.repartitionByRange(max(1, manifest.count()), "shard").mapInArrow(run, schema)
 
 
-def token_tables(docs: DataFrame, tokenizer: str, end_id: int = 2, out: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def token_tables(docs: DataFrame, tokenizer: str, end_id: int = 2, out: str | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Write the ids of ``docs`` as shards and return what ``read_shards`` reads back.
 
     ``start`` is the number of ids before the document in ascending order of id, nulls first.
     A null text counts as empty and is its end id alone. Repeated ids keep all their rows, ordered
     by text. Other columns are ignored. An empty table gives no shard and an empty result.
+    ``shards`` is by default the number of shuffle partitions or, if that is more, the texts' bytes
+    as they are counted over ``SHARD_BYTES``.
     """
     spark = docs.sparkSession
-    shards = max(shuffle_partitions(spark), plan_bytes(docs) // SHARD_BYTES)
+    if shards is None:
+        shards = min(MOST_SHARDS, max(shuffle_partitions(spark), text_bytes(docs, text_col) // SHARD_BYTES))
     return read_shards(write_shards(docs, out or shared_path(spark, "sst"), tokenizer, end_id, shards, id_col, text_col))

@@ -146,3 +146,33 @@ def test_empty_table(spark):
     assert count_tokens(none, PIECES).count() == 0
     assert pack_documents(none, WORDS).count() == 0
     assert token_tables(none, WORDS).count() == 0
+
+
+def test_token_tables_of_tables_that_are_no_plain_scan(spark):
+    from prosemill.llm.common import shared_path
+    from prosemill.llm.sstable import MOST_SHARDS, token_tables, write_shards
+
+    one = documents(spark, [(4, "one row")])
+    assert [(r.doc_id, r.start, r.n_tokens) for r in token_tables(one, WORDS).collect()] == [(4, 0, len(library_ids("one row")) + 1)]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    joined = docs.join(spark.read.parquet("/root/testdata/sf0.001/labels.parquet"), "doc_id", "left")
+    assert token_tables(joined, WORDS).count() == docs.count()
+    assert token_tables(one.limit(0), WORDS, shards=3).count() == 0
+    for shards in (0, MOST_SHARDS + 1):
+        with pytest.raises(ValueError):
+            write_shards(one, shared_path(spark, "t"), WORDS, 2, shards)
+
+
+def test_an_id_of_many_rows_takes_several_shards_and_strays_go(spark, tmp_path):
+    from prosemill.llm.sstable import open_shard, read_shards, write_shards
+
+    (tmp_path / "shard-00000000-of-a-lost-attempt.sst").write_bytes(b"half")
+    rows = [(7, f"text {k} of one id") for k in range(300)] + [(None, f"no id {k}") for k in range(300)] + [(9, "last")]
+    manifest = write_shards(documents(spark, rows), f"file://{tmp_path}", WORDS, 2, 6)
+    files = manifest.collect()
+    assert {r.path.rpartition("/")[2] for r in files} == {p.name for p in tmp_path.glob("*.sst")}
+    assert max(r.n_docs for r in files) < 200
+    got = read_shards(manifest).orderBy("start").collect()
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    assert [(r.doc_id, r.ids_crc32) for r in got] == [(k, crc(library_ids(t) + [2])) for k, t in ordered]
+    assert sum(len(open_shard(r.path).lookup(7)) for r in files) == 300
