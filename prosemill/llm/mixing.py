@@ -1,12 +1,14 @@
 """Mixing sources to target weights by systematic sampling, DataFrame functions only.
 
 Every document of a source has the same expected number of copies: the source's target over its
-size. Along a hashed order of the source's documents the expected copies are summed up from one
-random offset, and a document is emitted once for each integer that its share of the sum crosses.
-Of a few random offsets that one is used whose words come closest to the target.
-
-The order is cut into cells of (source, hash bucket); a cell's first rank comes from a prefix sum
-over counts of cells, so no task sees a whole source.
+size. Along an order of the source's documents the expected copies are summed up from one random
+offset, and a document is emitted once for each integer that its share of the sum crosses. The order
+goes by classes of size and then by hash, so that the words taken from each class, and with them the
+source's, come near what is due with any offset: nothing is tried out or chosen by the data.
+
+The order is cut into cells of (source, class of size, hash bucket); a cell's first rank comes from
+a prefix sum over counts of cells, so no task sees a whole source. Rows that repeat an id are counted
+before anything is sorted, so an id of very many rows is one row in its cell.
 """
 
 from __future__ import annotations
@@ -16,23 +18,23 @@ from pyspark.sql import functions as F
 
 from prosemill.llm.common import materialize, n_words, text_or_empty
 
-#: Hash buckets of a source, at least.
-LEAST_BUCKETS = 64
-#: Documents of a source for each further hash bucket.
-ROWS_PER_BUCKET = 50_000
-#: Random offsets that are tried.
-DRAWS = 64
+#: Classes of size for each doubling of the size.
+CLASSES = 4
+#: Documents of a source for each hash bucket.
+ROWS_PER_BUCKET = 250_000
+#: Rows of one id and size that are emitted by one task.
+ROWS_AT_ONCE = 10_000
 
 
 def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), most_repeats: float = 3.0) -> DataFrame:
-    """``source, docs, source_size, target`` from rows of ``source, size``.
+    """``source, docs, source_size, target`` from rows of ``source, size, n``, which stand for ``n`` documents.
 
     Sources in code point order, null last, get the weights in turn. Together they share all sizes;
     a target above ``most_repeats`` times its source's size stops there and the excess is shared
     again by weight. The level at which this ends is found by one pass over the sources in the order
     of capacity to weight, which is the same as sharing again and again.
     """
-    per = sizes.groupBy("source").agg(F.count(F.lit(1)).alias("docs"), F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("n").alias("docs"), F.sum(F.col("size") * F.col("n")).alias("source_size"))
     # One row a source from here on: the windows without a key run over the list of sources.
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), F.col("source"))) - 1
     n = len(weights)
@@ -72,45 +74,47 @@ def mix_sources(
 
     ``size`` counts words, 0 for a null or empty text; ``taken`` is ``copies * size``. Null sources
     are one source and come last. A source of empty texts has the target 0 and takes nothing. Null
-    ids and repeated rows are documents of their own; among documents of equal id and size the
-    order is arbitrary, and so is which of them is taken. Other columns are ignored.
-    An empty table gives an empty result.
+    ids and repeated rows are documents of their own; among documents of equal id and size it is
+    arbitrary which row gets which of their copies. Other columns are ignored. An empty table gives
+    an empty result. ``most_repeats`` must be a whole number, as a document can't be taken in parts.
     """
+    if most_repeats < 1 or most_repeats != int(most_repeats):
+        raise ValueError("most_repeats must be a whole number from 1")
     rows = docs.select(
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(text_or_empty(text_col)).alias("size")
     )
-    rows = materialize(rows, "mix")
-    targets = materialize(source_targets(rows, weights, most_repeats), "mix-targets")
-    by_source = rows["source"].eqNullSafe(targets["source"])
+    # The rows of one id, source and size; counted before the shuffle, so a hot id is a row a task.
+    same = rows.groupBy("source", "size", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    same = materialize(same, "mix")
+    targets = materialize(source_targets(same, weights, most_repeats), "mix-targets")
     # A row a source: its size is checked by Spark against its broadcast threshold.
-    rows = rows.join(targets, by_source, "left").select(rows["*"], "docs", "source_size", "target")
+    rows = same.join(targets, same["source"].eqNullSafe(targets["source"]), "left").select(same["*"], "docs", "source_size", "target")
     h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    buckets = F.greatest(F.lit(LEAST_BUCKETS), F.ceil(F.col("docs") / ROWS_PER_BUCKET)).cast("long")
-    rows = rows.select("*", h.alias("h"), F.pmod(F.shiftright(h, 7), buckets).alias("bucket"))
+    buckets = F.ceil(F.col("docs") / ROWS_PER_BUCKET).cast("long")
+    rows = rows.select("*", h.alias("h"), F.floor(F.log2(F.col("size") + 1) * CLASSES).alias("cls"))
     # A key that is never null, and differs between a null and any string.
-    rows = rows.withColumn("skey", F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))))
-    cells = rows.groupBy("skey", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.select("skey", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
-    within = Window.partitionBy("skey", "bucket").orderBy("h", "doc_id", "size")
-    rows = rows.withColumn("place", F.row_number().over(within)).join(cells, ["skey", "bucket"])
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.select(
-        "doc_id", "source", "size", "source_size", "target", "skey", (F.col("first") + F.col("place")).alias("rank"), rate.alias("rate")
-    )
-    rows = materialize(rows, "mix-ranks")
-
-    def copies(offset: Column) -> Column:
-        crossed = F.floor(F.col("rank") * F.col("rate") + offset) - F.floor((F.col("rank") - 1) * F.col("rate") + offset)
-        # Rounding of the sums may carry one integer too far where the rate is the cap itself.
-        return F.least(crossed, F.lit(int(most_repeats))).cast("long")
-
-    offsets = [F.lit(k) for k in range(DRAWS)]
-    draws = rows.groupBy("skey", "target").agg(
-        *[F.sum(copies(_uniform(seed, F.concat("skey", o))) * F.col("size")).alias(f"words{k}") for k, o in enumerate(offsets)]
+    rows = rows.withColumns(
+        {
+            "bucket": F.pmod(F.shiftright("h", 7), buckets),
+            "skey": F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))),
+        }
     )
-    best = F.least(*[F.struct(F.abs(F.col(f"words{k}") - F.col("target")).alias("miss"), o.alias("draw")) for k, o in enumerate(offsets)])
-    chosen = materialize(draws.select("skey", _uniform(seed, F.concat("skey", best["draw"])).alias("offset")), "mix-offsets")
-    rows = rows.join(chosen, "skey")
-    rows = rows.withColumn("copies", copies(F.col("offset")))
+    cell = ["skey", "cls", "bucket"]
+    cells = rows.groupBy(cell).agg(F.sum("n").alias("n"))
+    ahead = Window.partitionBy("skey").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select(*cell, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
+    within = Window.partitionBy(cell).orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(cells, cell)
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    rows = rows.withColumns({"rate": rate, "offset": _uniform(seed, F.col("skey")), "rank": F.col("first") + F.col("before")})
+    # One row for each document again; those of one id in blocks, which may be dealt out.
+    block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ROWS_AT_ONCE).cast("long")))
+    rows = rows.select("doc_id", "source", "size", "source_size", "target", "rate", "offset", "rank", "n", block.alias("block"))
+    rows = rows.repartition("doc_id", "size", "block")
+    start = F.col("block") * ROWS_AT_ONCE + 1
+    nth = F.explode(F.sequence(start, F.least(F.col("n"), start + (ROWS_AT_ONCE - 1))))
+    rows = rows.select("*", nth.alias("nth")).withColumn("rank", F.col("rank") + F.col("nth"))
+    crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
+    # Rounding of the sums may carry one integer too far where the rate is the cap itself.
+    rows = rows.withColumn("copies", F.least(crossed, F.lit(int(most_repeats))).cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
