@@ -4,6 +4,10 @@ Spark's FP-growth finds frequent combinations of a URL's tokens and its label. C
 imply a label with enough support and confidence become rules. They are matched by an inverted
 index: a rule hangs on its rarest token, a URL meets only the rules of its own tokens, and of those
 the rule whose tokens the URL holds completely and whose confidence is highest speaks.
+
+Every host label, path segment, query name and fragment is a token. What bounds the combinations is
+their support alone; tokens that stand in exactly the same URLs are mined as one, so that long fixed
+paths, however often they occur, don't give all subsets of their segments.
 """
 
 from __future__ import annotations
@@ -15,8 +19,8 @@ from pyspark.sql import functions as F
 from prosemill.llm.common import materialize
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rules may be sent to all executors up to this number; beyond it Spark joins by shuffle.
-MOST_RULES_SENT = 20_000
+#: URLs that a combination must stand in, whatever share of all that is.
+LEAST_URLS = 5
 
 
 def host_of(url: Column) -> Column:
@@ -38,42 +42,61 @@ def list_rule(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple
     return which, verdict
 
 
-def url_tokens(host: Column, path: Column) -> Column:
-    """Up to seven tokens that describe a URL, digits as #; their number doesn't grow with the URL."""
-    plain = lambda c: F.regexp_replace(c, "[0-9]+", "#")
-    part = lambda k: plain(F.split_part(path, F.lit("/"), F.lit(k + 1)))
-    named = lambda kind, c: F.when(c != "", F.concat(F.lit(kind + "="), c))
+def url_tokens(url: Column) -> Column:
+    """What a URL is made of, as ``kind=value``, digits as #; empty for a url without ``://``."""
+    plain = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), "[0-9]+", "#")
+    of = lambda kind, parts: F.transform(F.filter(parts, lambda x: x != ""), lambda x: F.concat(F.lit(kind + "="), x))
+    labels = F.split(plain(host_of(url)), r"\.")
+    query = plain(F.regexp_extract(url, r"(?s)^.*?://[^?#]*\?([^#]*)", 1))
+    names = F.transform(F.split(query, "[&;]"), lambda x: F.substring_index(x, "=", 1))
+    fragment = plain(F.regexp_extract(url, r"(?s)^.*?://[^#]*#(.*)", 1))
     return F.array_distinct(
-        F.array_compact(
-            F.array(
-                named("tld", F.substring_index(host, ".", -1)),
-                named("site", F.substring_index(host, ".", -2)),
-                named("host", host),
-                named("sub", F.substring_index(host, ".", 1)),
-                named("dir1", part(1)),
-                named("dir2", part(2)),
-                named("ext", F.regexp_extract(path, r"\.([A-Za-z]{1,8})$", 1)),
-            )
+        F.concat(
+            of("tld", F.slice(labels, -1, 1)),
+            of("host", F.slice(labels, 1, F.size(labels) - 1)),
+            of("dir", F.split(plain(path_of(url)), "/")),
+            of("arg", names),
+            of("fragment", F.array(fragment)),
         )
     )
 
 
-def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, least_urls: int = LEAST_URLS) -> DataFrame:
     """``rule_id, tokens, label, confidence, support`` from rows of ``tokens, label``.
 
-    Frequent items number at most seven over ``min_support``, whatever the input's size.
+    Tokens of the same URLs are found by their number and the sum of a hash of each URL's tokens;
+    the first of them in code point order stands for all. Tokens that alone are too rare can't be
+    part of a combination that isn't, and go before mining.
     """
-    bags = labelled.where(F.size("tokens") > 0).select(F.array_append("tokens", F.concat(F.lit("label="), "label")).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(bags)
+    labelled = materialize(labelled.where(F.size("tokens") > 0), "url-bags")
+    total = labelled.count()
+    if not total:
+        none = "rule_id string, tokens array<string>, label string, confidence double, support double"
+        return labelled.sparkSession.createDataFrame([], none)
+    support = max(min_support, least_urls / total)
+    # Sums of a decimal type don't overflow, and are the same in any order.
+    hashed = F.xxhash64("tokens").cast("decimal(38,0)")
+    each = labelled.select(hashed.alias("bag"), F.explode("tokens").alias("token"))
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bag").alias("bags")).where(F.col("n") >= support * total)
+    # Frequent tokens alone; the smallest of equal ones stands for them.
+    stands = seen.groupBy("n", "bags").agg(F.min("token").alias("token")).select("token")
+    stands = materialize(stands, "url-tokens")
+    numbered = labelled.select("*", F.monotonically_increasing_id().alias("row"))
+    bags = numbered.select("row", "label", F.explode("tokens").alias("token")).join(stands, "token").groupBy("row", "label").agg(F.collect_list("token").alias("t"))
+    bags = materialize(bags.select(F.array_append("t", F.concat(F.lit("says="), "label")).alias("items")), "url-items")
+    kept = bags.count()
+    if not kept:
+        return mine_rules(labelled.limit(0), min_support, min_confidence, least_urls)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * total / kept), minConfidence=min_confidence).fit(bags)
     rules = model.associationRules.where(
-        F.startswith(F.col("consequent")[0], F.lit("label=")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("label=")))
+        F.startswith(F.col("consequent")[0], F.lit("says=")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("says=")))
     )
     return rules.select(
         F.array_join(F.array_sort("antecedent"), " ").alias("rule_id"),
         F.col("antecedent").alias("tokens"),
-        F.substring(F.col("consequent")[0], 7, 1000).alias("label"),
+        F.substring(F.col("consequent")[0], 6, 1000).alias("label"),
         "confidence",
-        "support",
+        (F.col("support") * kept / total).alias("support"),
     )
 
 
@@ -90,8 +113,6 @@ def match_rules(urls: DataFrame, rules: DataFrame, frequency: DataFrame) -> Data
         F.first("support").alias("support"),
     )
     posts = materialize(posts, "url-rules")
-    if posts.count() <= MOST_RULES_SENT:
-        posts = F.broadcast(posts)
     met = urls.select("key", "tokens", F.explode("tokens").alias("token")).join(posts, "token")
     met = met.where(F.size(F.array_except("needs", "tokens")) == 0)
     best = F.max(F.struct("confidence", "support", F.size("needs").alias("size"), "rule_id", "label"))
@@ -117,20 +138,23 @@ def judge_urls(
     looked at: null and repeated ids are judged row by row, and other columns are ignored. An empty
     table gives an empty result.
     """
-    host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
-    base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
+    url = F.col(url_col)
+    base = pages.select(F.col(id_col).alias("page_id"), host_of(url).alias("host"), path_of(url).alias("path"), url_tokens(url).alias("tokens"))
     which, says = list_rule(F.col("host"), F.col("path"), rules)
-    base = base.select("*", which.alias("rule"), says.alias("listed"), url_tokens(F.col("host"), F.col("path")).alias("tokens"))
+    base = base.select("*", which.alias("rule"), says.alias("listed"))
     if labels is None:
         seen = base.select("tokens", F.coalesce("listed", F.lit("none")).alias("label"))
     else:
-        seen = labels.select(url_tokens(host_of(F.col("url")), path_of(F.col("url"))).alias("tokens"), "label").where("label is not null")
+        seen = labels.select(url_tokens(F.col("url")).alias("tokens"), "label").where("label is not null")
     mined = mine_rules(seen, min_support, min_confidence).where(F.col("label").isin("allow", "block"))
     mined = materialize(mined, "url-mined")
     frequency = base.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     # Rules depend on the tokens alone: each distinct set of tokens is matched once.
     sets = base.where("rule is null and size(tokens) > 0").select("tokens").distinct().select(F.col("tokens").alias("key"), "tokens")
     found = match_rules(sets, mined, frequency).select(F.col("key").alias("tokens"), F.col("label").alias("said"), F.col("rule_id").alias("mined_rule"))
+    # Written out, so that Spark sends them to all executors if they are small and else can split a
+    # set of tokens that very many pages share.
+    found = materialize(found, "url-found")
     out = base.join(found, (base["tokens"] == found["tokens"]) & base["rule"].isNull(), "left")
     return out.select(
         "page_id", "host", "path", "rule", F.coalesce("listed", "said", F.lit("allow")).alias("verdict"), "mined_rule"
