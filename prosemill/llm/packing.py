@@ -5,6 +5,8 @@ their own. The others are dealt by hash into groups of bounded size, whose numbe
 input; a group is packed in one task, from its longest piece to its shortest: each piece goes to
 the open sequence for which the sum, over all residual gaps, of the squared number of open
 sequences with that gap becomes smallest; a new one is opened only if no open one has room.
+With ``weigh_new`` a new sequence competes by the same sum, as where pieces come one by one; from
+the longest piece on it needs a few sequences more (README), so it isn't the default.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from prosemill.llm.common import materialize, text_or_empty
 PIECES_PER_GROUP = 8192
 
 
-def place(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
+def place(lengths: list[int], size: int, weigh_new: bool = False) -> tuple[list[int], list[int]]:
     """Sequence number and offset of each piece; pieces are placed in the order given."""
     open_by_gap: list[list[int]] = [[] for _ in range(size)]
     n = np.zeros(size + 1, dtype=np.int64)  # n[g]: open sequences with the gap g; a gap of 0 isn't open
@@ -39,6 +41,8 @@ def place(lengths: list[int], size: int) -> tuple[list[int], list[int]]:
             change[0] = 0.5 - have[0]
             change[have == 0] = np.inf
             best = int(change.argmin()) + s
+            if weigh_new and n[size - s] + 0.5 < change[best - s]:
+                best = -1
         if best < 0:
             at, gap = len(filled), size
             filled.append(0)
@@ -80,20 +84,22 @@ def document_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0,
     return rows.mapInArrow(run, schema + (", ids binary" if with_ids else ""))
 
 
-def pack_pieces(pieces: DataFrame, size: int, key: list[str], per_group: int = PIECES_PER_GROUP) -> DataFrame:
+def pack_pieces(pieces: DataFrame, size: int, key: list[str], per_group: int = PIECES_PER_GROUP, weigh_new: bool = False) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; ``length`` must be from 1 to ``size``.
 
-    ``key`` names the columns that order pieces of equal length and deal them to groups; rows that
-    are equal in all of them are interchangeable.
+    ``key`` names the columns that order pieces of equal length; rows that are equal in all of them
+    are interchangeable. Rows are dealt to groups by place as well, so that no number of equal rows
+    makes a group large.
     """
     pieces = materialize(pieces, "pieces")
     short = pieces.where(F.col("length") < size)
     groups = max(1, -(-short.count() // per_group))
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(*key), F.lit(groups)))
+    # The pieces lie in files now, so a row's number is the same whenever a task is run again.
+    dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), *key), F.lit(groups)))
 
     def pack(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["length", *key], ascending=[False] + [True] * len(key), kind="stable")
-        where, offset = place(pdf["length"].tolist(), size)
+        where, offset = place(pdf["length"].tolist(), size, weigh_new)
         return pdf.assign(sequence_id=pdf["group"].to_numpy() * (1 << 32) + np.array(where, dtype=np.int64), offset=np.array(offset, dtype=np.int64))
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in dealt.schema)

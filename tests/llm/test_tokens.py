@@ -1,7 +1,7 @@
 """Packing, token counts and token tables against the libraries themselves."""
 
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -90,9 +90,45 @@ def test_place_fills_sequences():
     lengths = sorted((random.Random(k).randrange(1, 700) for k in range(3000)), reverse=True)
     where, offset = place(lengths, 1000)
     assert max(where) + 1 <= -(-sum(lengths) // 1000) + 2
+    new, _ = place(lengths, 1000, weigh_new=True)
+    assert max(where) <= max(new) <= 1.02 * max(where)
     assert place([], 10) == ([], []) and place([10, 10, 5, 5], 10)[0] == [0, 1, 2, 2]
 
 
+@pytest.mark.parametrize("weigh_new", [False, True])
+def test_place_makes_the_sum_of_squares_smallest(weigh_new):
+    import random
+
+    from prosemill.llm.packing import place
+
+    for seed in range(30):
+        rng = random.Random(seed)
+        lengths = [rng.randrange(1, 13) for _ in range(40)]
+        for n in range(1, 40):  # one piece more each time: the sum after it is the smallest there is
+            before, _ = place(lengths[:n], 12, weigh_new)
+            where, offset = place(lengths[: n + 1], 12, weigh_new)
+            assert where[:n] == before
+            filled = Counter()
+            for k, at in enumerate(where[:n]):
+                filled[at] += lengths[k]
+            s = lengths[n]
+            options = [k for k, f in filled.items() if f + s <= 12]
+            if weigh_new or not options:
+                options.append(len(filled))
+            cost = lambda at: sum(m * m for m in Counter(12 - f for f in (filled + Counter({at: s})).values() if f < 12).values())
+            assert where[n] in options and cost(where[n]) == min(map(cost, options)) and offset[n] == filled[where[n]]
+
+
+def test_equal_rows_are_dealt_to_groups_of_bounded_size(spark):
+    from prosemill.llm.packing import pack_pieces
+
+    rows = [(None, 0, 1, 5)] * 900 + [(k, 0, k, 7) for k in range(100)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, ids_crc32 long, length long")
+    packed = pack_pieces(pieces, 20, ["doc_id", "piece", "ids_crc32"], per_group=50).collect()
+    groups = Counter(r.sequence_id >> 32 for r in packed)
+    assert sum(groups.values()) == 1000 and len(groups) == 20 and max(groups.values()) < 100
+
+
 def test_token_tables(spark, docs):
     from prosemill.llm.sstable import open_shard, read_shards, write_shards
     from prosemill.llm.common import shared_path
