@@ -119,10 +119,16 @@ def _measured(batch: pa.RecordBatch) -> np.ndarray:
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELS) -> Ranker | None:
-    """Learn from at most ``most`` labelled documents (``doc_id, quality``), held-out ones excluded."""
+    """Learn from at most ``most`` labelled documents (``doc_id, quality``), held-out ones excluded.
+
+    An id that is labelled both ways tells nothing and goes. Of several texts of one id that of the
+    smallest features counts, so that every labelled id weighs the same.
+    """
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id")))
-    sample = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(most)
-    # At most ``most`` rows of two numbers are sent to all executors, and as many of features come back.
+    usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("most")).where("quality = most")
+    sample = usable.select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+    # At most ``most`` rows of two numbers are sent to all executors, and as many of features come back:
+    # rows of one id are combined before they leave a task.
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -133,7 +139,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             )
 
     rows = texts.select("doc_id", F.col("quality").cast("int").alias("quality"), "t").mapInArrow(run, "doc_id long, quality int, x array<double>")
-    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.collect())[: 2 * most]
+    rows = rows.groupBy("doc_id", "quality").agg(F.min(F.struct("x"))["x"].alias("x"))
+    got = sorted((r["doc_id"], r["quality"], r["x"]) for r in rows.collect())
     if not got:
         return None
     return fit(np.array([r[2] for r in got]), np.array([r[1] == 1 for r in got]))

@@ -98,6 +98,14 @@ def test_ranking_survives_odd_rows(spark):
     assert keep_good(docs.withColumnRenamed("h", "t"), ranker).columns == docs.withColumnRenamed("h", "t").columns
     assert {r.score for r in score_documents(docs, None).collect()} == {1.0}
     assert learn(docs, labels.where("quality = 1")) is None
+    # An id of very many rows weighs as one, contrary labels go, and so do labels without a text.
+    hot = documents(spark, [(1, f"{ODD[5]} {k}") for k in range(3000)] + [(k, t) for k, t in rows if k != 1] + [(77, "x " * 2_000_000)])
+    more = labels.union(spark.createDataFrame([(2, 1, 0), (10**6, 0, 0), (77, 1, 0)], "doc_id long, quality int, toxic int"))
+    ranker = learn(hot, more)
+    assert len(score_documents(hot, ranker).where("doc_id = 77 and score between 0 and 1").collect()) == 1
+    one = learn(documents(spark, [(1, f"{ODD[5]} 0")] + [(k, t) for k, t in rows if k != 1] + [(77, "x " * 2_000_000)]), more.where("doc_id != 2"))
+    two = learn(hot, more.where("doc_id != 2"))
+    assert abs(one.weights - two.weights).max() < 1 and len(one.weights) == len(two.weights)
     empty = spark.createDataFrame([], DOCS)
     assert score_documents(empty, ranker).count() == 0 and learn(empty, labels) is None
     assert fit(np.zeros((2, 3)), np.array([True, True])) is None
