@@ -20,8 +20,8 @@ from prosemill.llm.common import materialize, n_words, text_or_empty
 
 #: Classes of size for each doubling of the size.
 CLASSES = 4
-#: Documents of a source for each hash bucket.
-ROWS_PER_BUCKET = 250_000
+#: Documents of a source and class for each hash bucket.
+ROWS_PER_BUCKET = 1000
 #: Rows of one id and size that are emitted by one task.
 ROWS_AT_ONCE = 10_000
 
@@ -88,17 +88,13 @@ def mix_sources(
     same = materialize(same, "mix")
     targets = materialize(source_targets(same, weights, most_repeats), "mix-targets")
     # A row a source: its size is checked by Spark against its broadcast threshold.
-    rows = same.join(targets, same["source"].eqNullSafe(targets["source"]), "left").select(same["*"], "docs", "source_size", "target")
-    h = F.xxhash64(F.lit(seed), F.col("doc_id"))
-    buckets = F.ceil(F.col("docs") / ROWS_PER_BUCKET).cast("long")
-    rows = rows.select("*", h.alias("h"), F.floor(F.log2(F.col("size") + 1) * CLASSES).alias("cls"))
+    rows = same.join(targets, same["source"].eqNullSafe(targets["source"]), "left").select(same["*"], "source_size", "target")
     # A key that is never null, and differs between a null and any string.
-    rows = rows.withColumns(
-        {
-            "bucket": F.pmod(F.shiftright("h", 7), buckets),
-            "skey": F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit(""))),
-        }
-    )
+    skey = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
+    rows = rows.withColumns({"h": F.xxhash64(F.lit(seed), F.col("doc_id")), "cls": F.floor(F.log2(F.col("size") + 1) * CLASSES), "skey": skey})
+    # About a hundred rows a source.
+    classes = rows.groupBy("skey", "cls").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET).cast("long").alias("buckets"))
+    rows = rows.join(materialize(classes, "mix-classes"), ["skey", "cls"]).withColumn("bucket", F.pmod(F.shiftright("h", 7), F.col("buckets")))
     cell = ["skey", "cls", "bucket"]
     cells = rows.groupBy(cell).agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy("skey").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
