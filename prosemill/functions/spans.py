@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Start and end in code points, end exclusive, and the text between.
 SPANS = "array<struct<start:int,end:int,m:string>>"
+#: Items of an array that are folded at a time.
+BLOCK = 256
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -20,16 +22,33 @@ def no_spans() -> Column:
     return F.array().cast(SPANS)
 
 
+def scan(items: Column, start: Column, state: Callable[[Column, Column], Column], out: Callable[[Column, Column], Column], kind: str) -> Column:
+    """``array<kind>``: for each item what ``out(state, item)`` gives; ``state(state, item)`` comes next.
+
+    An array that grows is copied with every item. So items are taken in blocks, and only a block's
+    array and the list of blocks grow: the copies stay small for texts with a million items.
+    """
+    nothing, no_parts = F.array().cast(f"array<{kind}>"), F.array().cast(f"array<array<{kind}>>")
+    one = lambda acc, x: F.struct(state(acc["at"], x).alias("at"), F.array_append(acc["out"], out(acc["at"], x)).alias("out"))
+
+    def block(acc: Column, k: Column) -> Column:
+        part = F.aggregate(F.slice(items, k * BLOCK + 1, F.lit(BLOCK)), F.struct(acc["at"].alias("at"), nothing.alias("out")), one)
+        return let(part, lambda r: F.struct(r["at"].alias("at"), F.array_append(acc["parts"], r["out"]).alias("parts")))
+
+    blocks = F.sequence(F.lit(0), F.floor((F.size(items) - 1) / BLOCK).cast("int"))
+    whole = F.aggregate(blocks, F.struct(start.alias("at"), no_parts.alias("parts")), block, lambda acc: F.flatten(acc["parts"]))
+    return F.when(F.size(items) > 0, whole).otherwise(nothing)
+
+
 def laid_out(gaps: Column, matches: Column) -> Column:
     """Spans of ``matches`` where ``gaps`` and matches alternate, a gap first."""
     parts = F.arrays_zip(F.slice(gaps, 1, F.size(matches)).alias("g"), matches.alias("m"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["g"])
-        end = start + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(acc["spans"], F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"))).alias("spans"))
+    def span(at: Column, x: Column) -> Column:
+        begin = at + F.length(x["g"])
+        return F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("end"), x["m"].alias("m"))
 
-    return F.aggregate(parts, F.struct(F.lit(0).alias("at"), no_spans().alias("spans")), add, lambda acc: acc["spans"])
+    return let(parts, lambda p: scan(p, F.lit(0), lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), span, "struct<start:int,end:int,m:string>"))
 
 
 def find_spans(text: Column, pattern: str) -> Column:
