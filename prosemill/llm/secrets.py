@@ -12,7 +12,10 @@ follows that law, its probability under the alphabet's uniform law exceeds that
 t times with a probability of at most 1 / t (Markov), at every length and without an estimate. The
 inverse of this ratio, times the number of alphabets, is the probability that goes into the
 Benjamini-Hochberg rule in a class of lengths, which keeps the share of false reports below ``fdr`` as
-far as ordinary strings follow the law. Runs of letters of one case alone are never reported.
+far as ordinary strings follow the law.
+
+What is never reported: strings of less than 20 signs, letters of one case alone (or with one capital
+in front) and digits alone, which are words and numbers far more often than keys.
 """
 
 from __future__ import annotations
@@ -22,6 +25,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from prosemill.functions.spans import let, no_spans, scan
 from prosemill.llm.common import materialize, text_or_empty
 
 #: The base patterns, in the order in which kinds are listed.
@@ -63,17 +67,34 @@ def _found(text: Column, pattern: str, may_hold: Column, good=None) -> Column:
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     group = F.regexp_extract_all(text, F.lit(pattern), F.lit(2)) if good else whole
     parts = F.arrays_zip(F.slice(F.split(text, pattern, -1), 1, F.size(whole)).alias("gap"), whole.alias("m"), group.alias("g"))
-    none = F.array().cast("array<struct<start:int,end:int,m:string>>")
-    start = F.struct(F.lit(0).alias("at"), none.alias("spans"))
+    end = lambda at, x: at + F.length(x["gap"]) + F.length(x["m"])
 
-    def add(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["gap"])
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("m"))
+    def span(at: Column, x: Column) -> Column:
         keep = good(x["m"], x["g"]) if good else F.lit(True)
-        return F.struct(end.alias("at"), F.when(keep, F.array_append(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+        return F.struct((at + F.length(x["gap"])).alias("start"), end(at, x).alias("end"), x["m"].alias("m"), keep.alias("keep"))
+
+    spans = let(parts, lambda p: scan(p, F.lit(0), end, span, "struct<start:int,end:int,m:string,keep:boolean>"))
+    kept = F.transform(F.filter(spans, lambda s: s["keep"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
+    return F.when(may_hold, kept).otherwise(no_spans())
+
+
+def _uncovered(candidates: Column, base: Column) -> Column:
+    """The candidates that overlap no base span; both are sorted, and candidates don't overlap.
+
+    Sorted together, a span that begins before a candidate reaches into it if the farthest end so
+    far does; one that begins inside it comes right after it.
+    """
+    mark = lambda c, free: F.transform(c, lambda s: F.struct(s["start"].alias("start"), F.lit(free).alias("free"), s["end"].alias("end"), (s["m"] if free else F.lit(None).cast("string")).alias("m")))
+    both = F.array_sort(F.concat(mark(candidates, True), mark(base, False)))
+
+    def judged(all_: Column) -> Column:
+        numbered = F.transform(all_, lambda s, k: F.struct(s["start"].alias("start"), s["free"].alias("free"), s["end"].alias("end"), s["m"].alias("m"), F.get(all_, k + 1).alias("next")))
+        reach = lambda at, s: F.when(s["free"], at).otherwise(F.greatest(at, s["end"]))
+        nothing_inside = lambda s: s["next"].isNull() | s["next"]["free"] | (s["next"]["start"] >= s["end"])
+        out = lambda at, s: F.when(s["free"] & (at <= s["start"]) & nothing_inside(s), F.struct(s["start"].alias("start"), s["end"].alias("end"), s["m"].alias("m")))
+        return F.filter(scan(numbered, F.lit(0), reach, out, "struct<start:int,end:int,m:string>"), lambda s: s.isNotNull())
 
-    return F.when(may_hold, F.aggregate(parts, start, add, lambda acc: acc["spans"])).otherwise(none)
+    return F.when(F.size(candidates) > 0, let(both, judged)).otherwise(no_spans())
 
 
 def normal_tail(z: Column) -> Column:
@@ -209,7 +230,7 @@ def find_secrets(docs: DataFrame, alpha: float = 0.01, fdr: float = 0.01, id_col
         ]
     )
     rows = rows.select("doc_id", F.array_sort(base).alias("base"), "candidates")
-    free = F.filter("candidates", lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
+    free = _uncovered(F.col("candidates"), F.col("base"))
     tested = F.filter(
         F.transform(free, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"), battery(c["m"]).alias("b"))),
         lambda c: c["b"]["encoding"].isNotNull(),

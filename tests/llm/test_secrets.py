@@ -70,3 +70,18 @@ def test_battery_finds_short_keys_in_prose(spark):
         print(kind, sum(found), len(found))
         assert sum(found) >= 0.9 * len(found), kind
     assert sum(got[k] for k in range(len(keys), len(rows))) == 0
+
+
+def test_texts_of_very_many_matches(spark):
+    key = "Zx9Qv7Lm2Tp4Rk8Wb1Nc6Yd3Hs5Jf0Ga"
+    hexes = "04dbebab91ab85687d33eeaaf9ac699e" * 2
+    many = " ".join(f"{hexes} password=abcdefgh{k} {key}" for k in range(4000))
+    r = find_secrets(documents(spark, [(1, many), (2, f"token={key} {key}:{hexes}{key} x{key}")])).orderBy("doc_id").collect()
+    for row, text in zip(r, (many, f"token={key} {key}:{hexes}{key} x{key}"), strict=True):
+        want = base_spans(text)
+        assert [s for s in row.spans.split(",") if not s.startswith("random")] == want
+        assert row.base_sha256 == hashlib.sha256(",".join(want).encode()).hexdigest()
+    covered = [tuple(map(int, s.split(":")[1:])) for s in base_spans(many)]
+    free = [s.split(":") for s in r[0].spans.split(",") if s.startswith("random")]
+    assert len(free) == 4000 and all(many[int(a) : int(b)] == key for _, a, b in free[:50])
+    assert not {int(a) for _, a, _ in free} & {k for a, b in covered[:500] for k in range(a, b)}
