@@ -8,14 +8,17 @@ coordinates, and the ranks that one shingle adds to all of them lie side by side
 1. Sketch: one pass over the texts gives each document its number of shingles, a 128-bit hash of
    its set, one hash for each band of coordinates, and the signature's low bytes.
 2. Equal sets are one class from here on, so a group of copies is one row.
-3. Classes that share a band meet in a bucket. A small bucket proposes all its pairs. A large one
-   proposes its most central member with every other, so its pairs grow with its members.
+3. Classes that share a band meet in a bucket. A small bucket proposes all its pairs. A large one is
+   cut into blocks; each proposes its most central member with every other, and the first block's
+   proposes itself with all members of the bucket, so a bucket's pairs grow with its members.
 4. Pairs that sizes or signatures rule out go; the rest are confirmed on full sets, and links become
    components.
 5. Large buckets whose members ended in different components are looked at again: members of
    different components, unless the shingles that each has to itself among all of these members
    already rule the link out, or the signatures do. Such members get signatures of more coordinates
-   of the same ring, so that few pairs below the threshold are left. These are confirmed too.
+   of the same ring, so that few pairs below the threshold are left. These are confirmed too. Who is
+   in a bucket's largest component needs no search of its own: blocks of the others meet blocks of
+   all members, so that no task sees more than two blocks, however large the bucket is.
 6. Every row gets the smallest id of its component.
 """
 
@@ -44,8 +47,8 @@ COORDINATES = 192
 WIDE_COORDINATES = 1024
 #: Members up to which a bucket proposes all pairs.
 SMALL_BUCKET = 24
-#: Members of a large bucket that are looked at together.
-CHUNK = 20_000
+#: Members of a large bucket that are looked at together, about.
+CHUNK = 400
 #: Standard deviations that an estimate may lie below the threshold.
 SPREAD = 5.5
 _MASK = (1 << 64) - 1
@@ -209,23 +212,22 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _central(large: DataFrame, percent: int) -> DataFrame:
-    """``a, b``: of each chunk of a large bucket its most central member with all others, and the
-    central members of a bucket's chunks with the first of them."""
+    """``a, b``: the most central member of each block of a large bucket with the block's others, and
+    that of the bucket's first block with all of the bucket."""
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
         common = np.array([np.bincount(sig[:, k]).argmax() for k in range(COORDINATES)], np.uint8)
         order = np.lexsort((pdf["node"].to_numpy(), -(sig == common).sum(axis=1)))
-        middle = pdf.iloc[order[0]]
-        fits = 100 * np.minimum(pdf["n"], middle["n"]) >= percent * np.maximum(pdf["n"], middle["n"])
-        out = pdf.loc[fits | (pdf["node"] == middle["node"]), ["key", "node"]].rename(columns={"node": "b"})
-        return out.assign(a=middle["node"])[["key", "a", "b"]]
+        return pdf.iloc[order[:1]][["key", "chunk", "node", "n"]]
 
-    stars = large.groupBy("key", "chunk").applyInPandas(choose, "key long, a long, b long")
-    stars = materialize(stars, "stars")
-    middles = stars.select("key", "a").distinct()
-    first = middles.groupBy("key").agg(F.min("a").alias("b"))
-    return stars.select("a", "b").union(middles.join(first, "key").select("a", "b"))
+    middles = large.groupBy("key", "chunk").applyInPandas(choose, "key long, chunk int, node long, n long")
+    middles = materialize(middles.select("key", "chunk", F.col("node").alias("a"), F.col("n").alias("n_a")), "middles")
+    first = middles.groupBy("key").agg(F.min_by(F.struct("a", "n_a"), "chunk").alias("m")).select("key", "m.a", "m.n_a")
+    members = large.select("key", "chunk", "node", "n")
+    # Few rows a bucket against its members: written out, so that a hot bucket can be split.
+    pairs = members.join(middles, ["key", "chunk"]).unionByName(members.join(materialize(first, "first-middles"), "key"), allowMissingColumns=True)
+    return pairs.where(_fits(F.col("n"), F.col("n_a"), percent)).select("a", F.col("node").alias("b"))
 
 
 def _undecided(large: DataFrame, bands: DataFrame, labels: DataFrame, alone: DataFrame, sets: DataFrame, threshold: float, percent: int) -> DataFrame:
@@ -236,31 +238,37 @@ def _undecided(large: DataFrame, bands: DataFrame, labels: DataFrame, alone: Dat
     rows = large.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     rows = rows.join(alone, "node", "left").withColumn("shared", F.col("n") - F.coalesce("alone", F.lit(0)))
     # Without enough shingles that any other member has, a member has no link here.
-    rows = rows.where(F.col("shared") * 100 >= F.col("n") * percent)
-    split = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high").select("key")
-    rows = materialize(rows.join(split, "key", "left_semi"), "undecided")
+    rows = materialize(rows.where(F.col("shared") * 100 >= F.col("n") * percent), "members")
+    parts = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
+    most = F.max(F.struct("size", "component"))["component"]
+    per = parts.groupBy("key").agg(most.alias("most"), F.sum("size").alias("all"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    per = per.withColumn("chunks", F.ceil(F.col("all") / CHUNK).cast("int"))
+    rows = materialize(rows.drop("chunk").join(materialize(per, "split-buckets"), "key"), "undecided")
     wide = materialize(_wide(sets.join(rows.select("node").distinct(), "node", "left_semi")), "wide")
     rows = rows.join(wide.join(bands, "node"), "node")
-    # Two chunks meet in one group, so a group is bounded however large the bucket is.
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select(
-        "key", "band", F.least("chunk", "other").alias("low"), F.greatest("chunk", "other").alias("high"), "chunk", "node", "n", "shared", "component", "sig", "wide", "bands"
-    )
+    rows = rows.withColumn("chunk", F.pmod(F.xxhash64(F.lit(3), "node"), F.col("chunks")).cast("int"))
+    rows = rows.withColumn("out", F.col("component") != F.col("most"))
+    columns = ["key", "band", "node", "n", "shared", "component", "sig", "wide", "bands", "out"]
+    # A block of searchers meets every block of members; members outside the largest component search.
+    searchers = rows.where("out").select(*columns, F.col("chunk").alias("low"), F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("high"), F.lit(True).alias("asks"))
+    blocks = rows.where("out").select("key", F.col("chunk").alias("low")).distinct()
+    asked = rows.select(*columns, F.col("chunk").alias("high")).join(materialize(blocks, "searching"), "key").withColumn("asks", F.lit(False))
+    every = searchers.unionByName(asked)
     least, least_wide = _least_agreement(threshold), _least_agreement(threshold, WIDE_COORDINATES)
 
     def pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-        node, n, shared, part, chunk = (pdf[c].to_numpy() for c in ("node", "n", "shared", "component", "chunk"))
+        asks = pdf["asks"].to_numpy(bool)
+        node, n, shared, part, out = (pdf[c].to_numpy() for c in ("node", "n", "shared", "component", "out"))
         sig = np.frombuffer(b"".join(pdf["sig"]), np.uint8).reshape(len(pdf), COORDINATES)
         wide = np.frombuffer(b"".join(pdf["wide"]), np.uint8).reshape(len(pdf), WIDE_COORDINATES)
-        keys = np.stack(pdf["bands"])
-        band, across = int(pdf["band"].iloc[0]), pdf["low"].iloc[0] != pdf["high"].iloc[0]
-        _, at, counts = np.unique(part, return_inverse=True, return_counts=True)
+        keys, band = np.stack(pdf["bands"]), int(pdf["band"].iloc[0])
         found_a, found_b = [], []
-        # Members of the largest component need no search of their own: the others search for them.
-        for x in np.flatnonzero(at != counts.argmax()):
-            common = np.minimum(shared, shared[x])
-            may = (100 * common >= percent * (n + n[x] - common)) & (part != part[x])
-            may = np.flatnonzero(may & (chunk != chunk[x]) if across else may)
+        there = np.flatnonzero(~asks)
+        for x in np.flatnonzero(asks):
+            # Two searchers meet in two groups: the one of the smaller id asks.
+            may = there[(part[there] != part[x]) & (~out[there].astype(bool) | (node[there] > node[x]))]
+            common = np.minimum(shared[may], shared[x])
+            may = may[100 * common >= percent * (n[may] + n[x] - common)]
             near = may[(sig[may] == sig[x]).sum(axis=1) >= least]
             # A pair is proposed in the first band that it shares, be that bucket small or large. The
             # keys tell: low bytes may agree in a band whose bucket the two don't share.
@@ -270,7 +278,7 @@ def _undecided(large: DataFrame, bands: DataFrame, labels: DataFrame, alone: Dat
             found_b += node[near].tolist()
         return pd.DataFrame({"a": np.array(found_a, np.int64), "b": np.array(found_b, np.int64)})
 
-    return rows.groupBy("key", "low", "high").applyInPandas(pairs, "a long, b long")
+    return every.groupBy("key", "low", "high").applyInPandas(pairs, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -303,8 +311,7 @@ def near_duplicates(docs: DataFrame, percent: int = 80, width: int = 5, id_col:
     close = small.select(F.explode(F.filter(pair, lambda p: F.size(p["bs"]) > 0)).alias("p")).select("p.a", F.explode("p.bs").alias("b"))
     large = met.where(F.col("members") > SMALL_BUCKET).join(nodes.select("node", "sig"), "node")
     chunk = F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / CHUNK).cast("long"))
-    chunks = F.ceil(F.col("members") / CHUNK).cast("int")
-    large = materialize(large.select("key", "band", "node", "n", "sig", chunk.cast("int").alias("chunk"), chunks.alias("chunks")), "large-buckets")
+    large = materialize(large.select("key", "band", "node", "n", "sig", chunk.cast("int").alias("chunk")), "large-buckets")
     sigs = nodes.select("node", "sig")
     pairs = materialize(_agreeing(_ordered(close.union(_central(large, percent))), sigs, threshold), "pairs")
 
