@@ -73,6 +73,10 @@ def test_rules_without_trusted_texts_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long")
     got = Q.apply_quality_rules(documents(spark, [(1, "a b c d e f g h i j k")]), none).collect()
     assert got[0].kept and got[0].llr == 0
+    many = spark.range(4000).select(F.col("id").alias("doc_id"))
+    docs = documents(spark, [(k, "good words" if k < 4000 else "bad words") for k in range(5000)])
+    some, every = (Q.target_ratios(docs, many, "doc_id", "text", most) for most in (1000, 4000))
+    assert some != every and sum(abs(a - b) for a, b in zip(some, every, strict=True)) < 0.2
     assert Q.apply_quality_rules(spark.createDataFrame([], DOCS), none).count() == 0
 
 
