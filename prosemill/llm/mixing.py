@@ -5,8 +5,10 @@ size. Along an order of the source's documents the expected copies are summed up
 offset, and a document is emitted once for each integer that its share of the sum crosses. The order
 goes by classes of size and then by hash, so that the words taken from each class, and with them the
 source's, come near what is due with any offset: nothing is tried out or chosen by the data.
+Documents of more than a hundredth of their source's words are drawn first, by themselves; what they
+took too little or too much is made up by the expected copies of the others.
 
-The order is cut into cells of (source, class of size, hash bucket); a cell's first rank comes from
+The order is cut into cells of (source, drawn first or not, class of size, hash bucket); a cell's first rank comes from
 a prefix sum over counts of cells, so no task sees a whole source. Rows that repeat an id are counted
 before anything is sorted, so an id of very many rows is one row in its cell.
 """
@@ -22,6 +24,8 @@ from prosemill.llm.common import materialize, n_words, text_or_empty
 CLASSES = 4
 #: Documents of a source and class for each hash bucket.
 ROWS_PER_BUCKET = 1000
+#: Documents of a larger part of their source than one in so many are drawn first.
+HEAVY = 100
 #: Rows of one id and size that are emitted by one task.
 ROWS_AT_ONCE = 10_000
 
@@ -77,6 +81,8 @@ def mix_sources(
     ids and repeated rows are documents of their own; among documents of equal id and size it is
     arbitrary which row gets which of their copies. Other columns are ignored. An empty table gives
     an empty result. ``most_repeats`` must be a whole number, as a document can't be taken in parts.
+    A source's words come within a hundredth of its words of the target, unless its documents are too
+    few or taken too often for that.
     """
     if most_repeats < 1 or most_repeats != int(most_repeats):
         raise ValueError("most_repeats must be a whole number from 1")
@@ -91,26 +97,46 @@ def mix_sources(
     rows = same.join(targets, same["source"].eqNullSafe(targets["source"]), "left").select(same["*"], "source_size", "target")
     # A key that is never null, and differs between a null and any string.
     skey = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
-    rows = rows.withColumns({"h": F.xxhash64(F.lit(seed), F.col("doc_id")), "cls": F.floor(F.log2(F.col("size") + 1) * CLASSES), "skey": skey})
+    rows = rows.withColumns(
+        {
+            "h": F.xxhash64(F.lit(seed), F.col("doc_id")),
+            "heavy": F.col("size") * HEAVY > F.col("source_size"),
+            "cls": F.floor(F.log2(F.col("size") + 1) * CLASSES),
+            "skey": skey,
+        }
+    )
     # About a hundred rows a source.
-    classes = rows.groupBy("skey", "cls").agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET).cast("long").alias("buckets"))
-    rows = rows.join(materialize(classes, "mix-classes"), ["skey", "cls"]).withColumn("bucket", F.pmod(F.shiftright("h", 7), F.col("buckets")))
-    cell = ["skey", "cls", "bucket"]
+    part = ["skey", "heavy", "cls"]
+    classes = rows.groupBy(part).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET).cast("long").alias("buckets"))
+    rows = rows.join(materialize(classes, "mix-classes"), part).withColumn("bucket", F.pmod(F.shiftright("h", 7), F.col("buckets")))
+    cell = [*part, "bucket"]
     cells = rows.groupBy(cell).agg(F.sum("n").alias("n"))
-    ahead = Window.partitionBy("skey").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ahead = Window.partitionBy("skey", "heavy").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)
     cells = cells.select(*cell, F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("first"))
     within = Window.partitionBy(cell).orderBy("size", "h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("before", F.coalesce(F.sum("n").over(within), F.lit(0))).join(cells, cell)
+    rows = rows.withColumns({"offset": _uniform(seed, F.col("skey")), "rank": F.col("first") + F.col("before")})
+    rows = materialize(rows.select("doc_id", "source", "size", "source_size", "target", "skey", "heavy", "offset", "rank", "n"), "mix-ranks")
+
+    def crossed(upto: Column, rate: Column) -> Column:
+        return F.floor(upto * rate + F.col("offset"))
+
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    rows = rows.withColumns({"rate": rate, "offset": _uniform(seed, F.col("skey")), "rank": F.col("first") + F.col("before")})
+    drawn = (crossed(F.col("rank") + F.col("n"), rate) - crossed(F.col("rank"), rate)) * F.col("size")
+    heavy = rows.where("heavy").groupBy("skey").agg(F.sum(drawn).alias("drawn"), F.sum(F.col("size") * F.col("n")).alias("heavy_size"))
+    rows = rows.join(materialize(heavy, "mix-heavy"), "skey", "left")
+    drawn, held = F.coalesce("drawn", F.lit(0)), F.coalesce("heavy_size", F.lit(0))
+    others = (F.col("target") - drawn) / F.nullif(F.col("source_size") - held, F.lit(0).cast("long"))
+    others = F.least(F.greatest(F.coalesce(others, F.lit(0.0)), F.lit(0.0)), F.lit(float(most_repeats)))
+    rows = rows.withColumn("rate", F.when(F.col("heavy"), rate).otherwise(others))
     # One row for each document again; those of one id in blocks, which may be dealt out.
     block = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / ROWS_AT_ONCE).cast("long")))
     rows = rows.select("doc_id", "source", "size", "source_size", "target", "rate", "offset", "rank", "n", block.alias("block"))
     rows = rows.repartition("doc_id", "size", "block")
     start = F.col("block") * ROWS_AT_ONCE + 1
     nth = F.explode(F.sequence(start, F.least(F.col("n"), start + (ROWS_AT_ONCE - 1))))
-    rows = rows.select("*", nth.alias("nth")).withColumn("rank", F.col("rank") + F.col("nth"))
-    crossed = F.floor(F.col("rank") * F.col("rate") + F.col("offset")) - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset"))
+    rows = rows.select("*", nth.alias("nth")).withColumn("upto", F.col("rank") + F.col("nth"))
+    copies = crossed(F.col("upto"), F.col("rate")) - crossed(F.col("upto") - 1, F.col("rate"))
     # Rounding of the sums may carry one integer too far where the rate is the cap itself.
-    rows = rows.withColumn("copies", F.least(crossed, F.lit(int(most_repeats))).cast("long"))
+    rows = rows.withColumn("copies", F.least(copies, F.lit(int(most_repeats))).cast("long"))
     return rows.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))

@@ -8,7 +8,7 @@ import pytest
 import xxhash
 from helpers import DOCS, ODD, clashing, documents
 
-from prosemill.llm.mixing import CLASSES, mix_sources
+from prosemill.llm.mixing import CLASSES, HEAVY, mix_sources
 
 GAPS = " \t\n\x0b\x0c\r"
 
@@ -55,12 +55,16 @@ def plain_mix(rows, seed=17):
     sizes = {s: sum(n for _, n in docs) for s, docs in by.items()}
     targets, out = plain_targets(sizes), []
     for s, docs in by.items():
-        rate = targets[s] / sizes[s] if sizes[s] else 0.0
         offset = _hash(seed, ("n" if s is None else "s") + (s or "")) % (1 << 52) / float(1 << 52)
-        order = sorted(docs, key=lambda d: (math.floor(math.log2(d[1] + 1) * CLASSES), d[1], _hash(seed, d[0]), d[0] is not None, d[0] or 0))
-        for rank, (k, n) in enumerate(order, 1):
-            copies = min(3, math.floor(rank * rate + offset) - math.floor((rank - 1) * rate + offset))
-            out.append((k, n, sizes[s], round(targets[s], 6), copies * n))
+        left, words = targets[s], sizes[s]
+        for heavy in (True, False):
+            rate = max(0.0, min(3.0, left / words)) if words else 0.0
+            own = [d for d in docs if (d[1] * HEAVY > sizes[s]) == heavy]
+            order = sorted(own, key=lambda d: (math.floor(math.log2(d[1] + 1) * CLASSES), d[1], _hash(seed, d[0]), d[0] is not None, d[0] or 0))
+            for rank, (k, n) in enumerate(order, 1):
+                copies = min(3, math.floor(rank * rate + offset) - math.floor((rank - 1) * rate + offset))
+                out.append((k, n, sizes[s], round(targets[s], 6), copies * n))
+                left, words = left - copies * n, words - n
     return sorted(out, key=str)
 
 
@@ -91,7 +95,9 @@ def test_equals_plain_version(spark):
     assert targets["tiny"] == caps["tiny"] and abs(sum(targets.values()) - sum(caps.values()) / 3) < 1e-6
     for s, want in targets.items():
         taken = sum(r.taken for r in mix_sources(docs).where("size > 0").collect() if r.source == s)
-        assert abs(taken - want) <= max([size(t) for _, t, x in rows if x == s], default=0) + 1, s
+        sizes = [size(t) for _, t, x in rows if x == s]
+        due = sum(sizes) / HEAVY if max(sizes) * HEAVY <= sum(sizes) or s not in ("odd", "tiny") else max(sizes)
+        assert abs(taken - want) <= due + 1, s
 
 
 def test_an_id_of_very_many_rows(spark):
