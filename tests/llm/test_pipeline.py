@@ -2,8 +2,9 @@
 
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
-from helpers import ODD, documents
+from helpers import DOCS, ODD, clashing, documents
 
 pytest.importorskip("public_tokenizers")
 import corpus_pipeline as pipeline  # noqa: E402
@@ -45,6 +46,64 @@ def test_mixing_stage(spark, rows):
         assert abs(words - total * w / 9) < 0.1 * total * w / 9
 
 
+def test_repeated_ids_are_mixed_as_often_as_the_mix_says(spark, rows):
+    from prosemill.llm.mixing import mix_sources
+
+    three = [r for r in rows[:60] for _ in range(3)] + [(None, "of no id " * 9, "src1")] * 7 + [(rows[1][0], "another text of this id", "src3")]
+    docs = clashing(documents(spark, three))
+    mixed = pipeline.mix(spark, docs, "")
+    assert mixed.columns == docs.columns
+    want = Counter()
+    for r in mix_sources(docs).collect():
+        want[r.doc_id, r.source, r.size] += r.copies
+    got = Counter((r.doc_id, r.source, len((r.text or "").split())) for r in mixed.collect())
+    assert got == +want
+
+
+def test_exact_stage_judges_each_text_of_an_id(spark):
+    rows = [(5, "same"), (5, "other"), (7, "same"), (7, "third"), (None, "same"), (None, None), (3, "")]
+    got = sorted(((r.doc_id, r.text) for r in pipeline.exact_dedup(spark, documents(spark, rows), "").collect()), key=str)
+    assert got == sorted([(5, "other"), (7, "same"), (7, "third"), (None, "same"), (None, None), (3, "")], key=str)
+
+
+def test_classifier_stage(spark):
+    from prosemill.llm.ranking import CUT, features, learn
+
+    sf = "/root/testdata/sf0.001"
+    real = [tuple(r) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    rows = real + [(None, t) for t in ODD] + [(real[0][0], real[1][1])] * 3 + [(10**9, "many words. " * 200_000)]
+    docs = clashing(documents(spark, rows))
+    ranker = learn(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    want = Counter(r for r in rows if ranker.scores(np.array([features(r[1] or "")]))[0] >= CUT)
+    out = pipeline.quality_classifier(spark, docs, sf)
+    assert out.columns == docs.columns and Counter((r.doc_id, r.text) for r in out.collect()) == want
+    assert 0 < want.total() < len(rows)
+
+
+def test_packing_stage(spark):
+    from test_tokens import crc, library_ids
+
+    texts = [t for t in ODD if t is None or len(t) < 4000] + ["many words of one text " * 1500]
+    rows = [(k, t) for k, t in enumerate(texts)] + [(None, "no id"), (1, "again"), (1, "again")]
+    got = pipeline.pack(spark, clashing(documents(spark, rows)), "").collect()
+    want = []
+    for k, t in rows:
+        ids = library_ids(t) + [0]
+        want += [(k, n, n * 2048, len(ids[n * 2048 : (n + 1) * 2048]), crc(ids[n * 2048 : (n + 1) * 2048])) for n in range(-(-len(ids) // 2048))]
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in x) <= 2048 and sorted(x)[0][0] == 0 for x in by.values())
+
+
+def test_stages_on_empty_tables(spark):
+    none = spark.createDataFrame([], DOCS)
+    for name, stage in pipeline.STAGES:
+        out = stage(spark, none, "/root/testdata/sf0.001")
+        assert out.count() == 0 and (name == "packing" or out.columns == none.columns)
+
+
 def test_whole_run(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
