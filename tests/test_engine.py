@@ -34,6 +34,52 @@ def test_markdown_blocks():
     assert all(text[p["start"] : p["end"]] == p["source"] for p in paragraphs)
 
 
+def shape(text, kind="markdown"):
+    paragraphs, protected = markup.segmented(text, kind)
+    assert all(text[p["start"] : p["end"]] == p["source"] for p in paragraphs)
+    return [(p["block"], p["text"]) for p in paragraphs], [(r["kind"], text[r["start"] : r["end"]]) for r in protected]
+
+
+@pytest.mark.parametrize(("block", "kind"), [
+    ("<div>x</div>", "html"), ("<!-- c -->", "html"), ("<?a b?>", "html"), ("<custom-tag a='1'>", "html"), ("<pre>\na\n\nb</pre>", "html"),
+    ("```\ncode\n```", "code"), ("~~~\n```\n~~~", "code"), ("    code\n\n    more", "code"), ("> quoted\n> more", "quote"), ("| a | b |\n|---|---|\n| 1 | 2 |", "table"),
+])
+def test_each_protected_block_in_first_place_and_later(block, kind):
+    after_item = [] if block[0] == " " else [f"- item\n\n{block}\n\nPara."]  # there it would go on with the item
+    for text in (f"{block}\n\nPara.", f"Before.\n\n{block}\n\nPara.", *after_item):
+        prose, protected = shape(text)
+        assert prose[-1] == ("paragraph", "Para.") and protected == [(kind, block)]
+    # In a list item, alone and on its first line.
+    inside = block.replace("\n", "\n  ")
+    prose, protected = shape(f"- {inside}\n\nPara.")
+    assert prose == [("paragraph", "Para.")] and [k for k, _ in protected] == [kind]
+
+
+def test_directives():
+    text = "---\nt: x\n---\n:::note{a=1}\nInside.\n\n::::deep\nDeeper.\n::::\n:::\n\n::leaf{a=1\n::inner\nb=2}\n\n::plain text\n\n```\n:::code\n```\n\nEnd.\n:::\n"
+    paragraphs, protected = markup.segmented(text, "markus")
+    assert [(p["text"], p["container"]) for p in paragraphs] == [("Inside.", "note"), ("Deeper.", "deep"), ("End.", None)]
+    found = [(r["kind"], text[r["start"] : r["end"]]) for r in protected]
+    assert found == [
+        ("frontMatter", "---\nt: x\n---"), ("directive", ":::note{a=1}"), ("directive", "::::deep"), ("directive", "::::"), ("directive", ":::"),
+        ("directive", "::leaf{a=1\n::inner\nb=2}"), ("directive", "::plain text"), ("code", "```\n:::code\n```"), ("directive", ":::"),
+    ]
+    assert shape("---\nnot closed", "markus")[1] == [] and shape(":::open\n\nA. B.", "markus")[0] == [("paragraph", "A. B.")]
+    assert shape("~~~~\n~~~\n::x\n~~~~\n\n::y", "markus")[1] == [("code", "~~~~\n~~~\n::x\n~~~~"), ("directive", "::y")]
+
+
+def test_kernel_takes_no_square_time():
+    import time
+
+    times = []
+    for n in (2000, 8000):
+        began = time.process_time()
+        paragraphs, _ = markup.segmented("Mr. A. said e.g. this. It was `x` so! " * n, "text")
+        times.append(time.process_time() - began)
+        assert len(paragraphs[0]["sentences"]) == 2 * n
+    assert times[1] < 9 * times[0] + 0.5
+
+
 def test_bundled_packs_pass_their_own_examples(spark):
     for name in packs.bundled():
         pack = packs.load_bundled(name)
