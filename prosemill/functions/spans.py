@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Start and end in code points, end exclusive, and the text between.
@@ -18,6 +18,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def exploded(rows: DataFrame, items: Column, name: str) -> DataFrame:
+    """``rows`` and ``name``: a row for each item that isn't null.
+
+    For a plain explode the optimizer adds a filter on the array's size below, and so computes the
+    array, with all its regular expressions, more than once. For an outer one it doesn't.
+    """
+    return rows.select("*", F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def no_spans() -> Column:
     return F.array().cast(SPANS)
 

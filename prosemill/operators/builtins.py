@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.regex import to_java
-from prosemill.functions.spans import find_spans, let, normalized
+from prosemill.functions.spans import exploded, find_spans, let, normalized
 from prosemill.operators import word_lists as L
 from prosemill.operators.segmentation import Segmented
 
@@ -56,7 +56,7 @@ def first_word(text: Column) -> Column:
 
 def _exploded(rows: DataFrame, spans: Column) -> DataFrame:
     """A row a span; ``start`` and ``end`` in the document, ``m`` the text, ``at`` in the segment."""
-    rows = rows.select("*", F.explode(spans).alias("span"))
+    rows = exploded(rows, spans, "span")
     return rows.withColumns({"at": F.col("span.start"), "m": F.col("span.m"), "end": F.col("start") + F.col("span.end"), "start": F.col("start") + F.col("span.start")})
 
 
@@ -280,7 +280,7 @@ def overused_words(seg, params, blocks):
     per = rows.select("doc_id", n.alias("n"), *[u.alias(f"u{k}") for k, u in enumerate(uses)], *[place(f).alias(f"f{k}") for k, f in enumerate(firsts)])
     per = per.groupBy("doc_id").agg(F.sum("n").alias("total"), *[F.sum(f"u{k}").alias(f"u{k}") for k in range(len(uses))], *[F.min(f"f{k}").alias(f"f{k}") for k in range(len(uses))])
     words = F.array(*[F.struct(F.lit(w).alias("word"), F.col(f"u{k}").alias("uses"), F.col(f"f{k}").alias("f")) for k, w in enumerate(L.CRUTCH_WORDS)])
-    per = per.select("doc_id", "total", F.explode(words).alias("x"))
+    per = exploded(per.select("doc_id", "total", words.alias("words")), F.col("words"), "x")
     limit = F.greatest(F.lit(3), F.bround(F.greatest("total", F.lit(1)) / 250))
     hit = per.where((F.col("x.uses") > limit) & F.col("x.f").isNotNull())
     return _hits(hit, F.format_string("'%s' stands %d times in %d words.", F.col("x.word"), F.col("x.uses"), F.col("total")), F.col("x.f.start"), F.col("x.f.end"))
@@ -312,15 +312,18 @@ def redundancy(seg, params, blocks):
     # A word counts if masking left it alone; words in emphasis are quoted on purpose.
     emphasis = find_spans(F.col("source"), r"(?Us)(?<![*_\w])(?:\*(?!\*).+?(?<!\*)\*|_(?!_).+?(?<!_)_)(?![*_\w])")
     words = F.filter(find_spans(F.col("masked"), L.TOKEN), lambda t: F.substr("source", t["start"] + 1, t["end"] - t["start"]) == t["m"])
-    def grams(w: Column) -> Column:
+
+    def grams(w: Column, quoted: Column) -> Column:
         four = F.transform(
             F.slice(w, F.lit(1), F.greatest(F.size(w) - 3, F.lit(0))),
             lambda t, i: F.struct(t["start"].alias("start"), F.get(w, i + 3)["end"].alias("end"), F.lower(F.array_join(F.transform(F.slice(w, i + 1, F.lit(4)), lambda x: x["m"]), " ")).alias("m")),
         )
-        return F.filter(four, lambda g: ~F.exists(emphasis, lambda e: (e["start"] < g["start"]) & (g["end"] < e["end"])))
+        return F.filter(four, lambda g: ~F.exists(quoted, lambda e: (e["start"] < g["start"]) & (g["end"] < e["end"])))
 
-    rows = rows.withColumn("grams", F.array_distinct(F.transform(let(words, grams), lambda g: g["m"])))
-    parts = rows.select("doc_id", "p", "s", normalized(F.lower("text")).alias("said"), F.explode("grams").alias("gram"))
+    # Spans of emphasis are bound before the loop over the words.
+    found = let(emphasis, lambda e: let(words, lambda w: grams(w, e)))
+    rows = rows.withColumn("grams", F.array_distinct(F.transform(found, lambda g: g["m"])))
+    parts = exploded(rows.select("doc_id", "p", "s", normalized(F.lower("text")).alias("said"), "grams"), F.col("grams"), "gram").drop("grams")
     shared = parts.groupBy("doc_id", "gram").agg(F.count(F.lit(1)).alias("n"), F.min("said").alias("a"), F.max("said").alias("b"))
     refrain = (F.col("a") == F.col("b")) & (F.size(F.split("a", " ")) <= 12)
     shared = shared.where((F.col("n") > 1) & ~refrain).select("doc_id", "gram")
@@ -363,5 +366,5 @@ def uniform_cadence(seg, params, blocks):
         return let(fresh, settle)
 
     finish = lambda acc: F.when(acc["run"].isNotNull(), F.array_append(acc["done"], F.struct(acc["run"]["start"].alias("start"), acc["run"]["end"].alias("end")))).otherwise(acc["done"]).cast(done_type)
-    runs = per.select("doc_id", F.explode(F.aggregate("all", start, step, finish)).alias("r"))
+    runs = exploded(per, F.aggregate("all", start, step, finish), "r")
     return _hits(runs, F.lit("Five sentences or more in a row have nearly the same length."), F.col("r.start"), F.col("r.end"))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from prosemill.functions.spans import laid_out, let, normalized
+from prosemill.functions.spans import exploded, laid_out, let, normalized
 from prosemill.operators import markup
 
 SENTENCE = "struct<start:int,end:int,source:string,masked:string,text:string>"
@@ -31,22 +31,20 @@ NEEDS_KERNEL = r"[`\[\]<{}*_~\\]|https?://|[^\x{00}-\x{2FF}\x{2010}-\x{2027}]|[\
 _BLOCK = r"(?d)[^\s](?:.*[^\s])?(?:\n[ \t]*[^\s].*)*"
 _ABBREVIATED = "|".join(re.escape(a) for a in markup.ABBREVIATIONS)
 _AFTER = r"""(?:^|[\s(\["“'‘])"""
-#: A full stop that ends no sentence stands after an initial, a dotted or a listed abbreviation.
-_NO_END = rf"(?<!{_AFTER}[A-Z])(?<!{_AFTER}(?:[A-Za-z]\.){{1,9}}[A-Za-z])(?<!{_AFTER}(?i:{_ABBREVIATED}))"
+#: A full stop that ends no sentence stands after an initial, a dotted or a listed abbreviation. These
+#: look back from behind the stop: in front of it they would be tried at every sign of the text.
+_STOP = rf"\.(?<!{_AFTER}[A-Z]\.)(?<!{_AFTER}(?:[A-Za-z]\.){{2,10}})(?<!{_AFTER}(?i:{_ABBREVIATED})\.)"
 _T, _C, _O = markup.TERMINATORS, r"\"'”’)\]*_", r"\"'“‘(\[*_`"
 #: What ends a sentence, by what follows it.
-BOUNDARY = (
-    rf"(?d)(?<![{_T}])(?:[{_T}]++[{_C}]*+(?=\s*\z)|(?:{_NO_END}\.|[!?…])[{_T}]*+[{_C}]*+(?=\s+[{_O}]*+[\p{{Lu}}\p{{Nd}}²³¹]))"
-)
+BOUNDARY = rf"(?d)(?<![{_T}])(?:[{_T}]++[{_C}]*+(?=\s*\z)|(?:{_STOP}|[!?…])[{_T}]*+[{_C}]*+(?=\s+[{_O}]*+[\p{{Lu}}\p{{Nd}}²³¹]))"
 
 
 def _pieces(source: Column) -> Column:
     """Spans of the sentences of a text without markup, trimmed, relative to it."""
     marked = F.regexp_replace(source, BOUNDARY, "$0\u0001")
     spans = let(F.split(marked, "\u0001", -1), lambda parts: laid_out(F.array_repeat(F.lit(""), F.size(parts)), parts))
-    left = lambda s: F.length(s["m"]) - F.length(F.regexp_replace(s["m"], r"^\s+", ""))
-    inner = lambda s: F.regexp_replace(s["m"], r"^\s+|\s+\z", "")
-    cut = F.transform(spans, lambda s: F.struct((s["start"] + left(s)).alias("start"), (s["start"] + left(s) + F.length(inner(s))).alias("end"), inner(s).alias("m")))
+    inner = lambda s: let(F.regexp_replace(s["m"], r"^\s+", ""), lambda x: F.struct((s["end"] - F.length(x)).alias("start"), F.regexp_replace(x, r"\s+\z", "").alias("m")))
+    cut = F.transform(F.transform(spans, inner), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), s["m"].alias("m")))
     return F.filter(cut, lambda s: s["start"] < s["end"])
 
 
@@ -122,19 +120,19 @@ class Segmented:
     @cached_property
     def paragraphs(self) -> DataFrame:
         """``doc_id, p, start, end, block, container, source, masked, text, n_sentences``; p from 0."""
-        rows = self.nested.select("doc_id", F.posexplode("paragraphs").alias("p", "x"))
+        rows = self.nested.select("doc_id", F.posexplode_outer("paragraphs").alias("p", "x")).where("p is not null")
         return rows.select("doc_id", "p", "x.start", "x.end", "x.block", "x.container", "x.source", "x.masked", "x.text", F.size("x.sentences").alias("n_sentences"))
 
     @cached_property
     def sentences(self) -> DataFrame:
         """As paragraphs, with ``s`` from 0 in its paragraph, and the paragraph's text as ``p_text``."""
-        rows = self.nested.select("doc_id", F.posexplode("paragraphs").alias("p", "x"))
-        rows = rows.select("doc_id", "p", "x.block", "x.container", F.col("x.text").alias("p_text"), F.posexplode("x.sentences").alias("s", "y"))
+        rows = self.nested.select("doc_id", F.posexplode_outer("paragraphs").alias("p", "x")).where("p is not null")
+        rows = rows.select("doc_id", "p", "x.block", "x.container", F.col("x.text").alias("p_text"), F.posexplode_outer("x.sentences").alias("s", "y")).where("s is not null")
         return rows.select("doc_id", "p", "s", "y.start", "y.end", "block", "container", "y.source", "y.masked", "y.text", "p_text")
 
     @cached_property
     def protected(self) -> DataFrame:
-        return self.nested.select("doc_id", F.explode("protected").alias("r")).select("doc_id", "r.kind", "r.start", "r.end")
+        return exploded(self.nested.select("doc_id", "protected"), F.col("protected"), "r").select("doc_id", "r.kind", "r.start", "r.end")
 
     def rows(self) -> DataFrame:
         """Every segment in document order with its stable id: the document, then each paragraph

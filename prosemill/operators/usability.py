@@ -1,7 +1,8 @@
 """Static usability findings of HTML pages.
 
-A Python kernel turns a page into rows of elements, each with the style rules that match it; the
-nine kinds of findings are expressions over these rows.
+A Python kernel turns a page into rows of elements, each with the style rules that match it and with
+what only the whole page tells: whether something names it, and whether it is the first of its
+label. The nine kinds of findings are one projection over these rows; nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -9,12 +10,13 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.functions.spans import let
+from prosemill.functions.spans import exploded, let
 from prosemill.operators.word_lists import EMOJI
 from prosemill.sources.profile import UsabilityProfile
 
@@ -28,7 +30,8 @@ COLOURS = {"black": (0, 0, 0), "white": (255, 255, 255), "red": (255, 0, 0), "gr
 STYLE = "struct<specificity:int,ord:int,decls:map<string,string>>"
 NODES = (
     "page_id long, node int, parent int, sibling int, tag string, attrs map<string,string>, text string, all_text string, label string, "
-    f"in_label boolean, has_media boolean, inline map<string,string>, styles array<{STYLE}>, focus array<{STYLE}>, hero boolean"
+    f"in_label boolean, has_media boolean, inline map<string,string>, styles array<{STYLE}>, focus array<{STYLE}>, hero boolean, "
+    "named boolean, root boolean, first_hero boolean, first_row boolean"
 )
 _FOCUS = re.compile(r"([a-z][a-z0-9-]*|\.[a-zA-Z0-9_-]+|#[a-zA-Z0-9_-]+)(:focus-visible|:focus)?")
 
@@ -112,15 +115,45 @@ def page_nodes(html: str) -> list[dict]:
                 if m[1] in score and ("outline" in decls or "outline-width" in decls):
                     x["focus"].append({"specificity": score[m[1]] + (1000 if m[2] else 0), "ord": k, "decls": decls})
         x["text"] = "".join(x["text"])
+    _across(nodes)
     return nodes
 
 
+def _across(nodes: list[dict]) -> None:
+    """What other elements of the page say of an element."""
+    attr = lambda x, name: x["attrs"].get(name, "").strip(" ")
+    ids = {attr(x, "id") for x in nodes} - {""}
+    targets = {attr(x, "for") for x in nodes if x["tag"] == "label"} - {""}
+    by_parent: dict[int, list[dict]] = {}
+    for x in nodes:
+        refs = set(re.split(r"\s+", attr(x, "aria-labelledby"), flags=re.A))
+        x["named"] = bool(refs & ids) or attr(x, "id") in targets
+        by_parent.setdefault(x["parent"], []).append(x)
+    roots = [x["node"] for x in by_parent.get(-1, []) if x["tag"] == "html"]
+    rows = [k for k, kids in by_parent.items() if k >= 0 and _has_row(kids)]
+    first = lambda found: set({nodes[k]["label"]: k for k in sorted(found, reverse=True)}.values())
+    heroes, rows = first([x["node"] for x in nodes if x["hero"]]), first(rows)
+    for x in nodes:
+        x["root"], x["first_hero"], x["first_row"] = x["node"] in roots[:1], x["node"] in heroes, x["node"] in rows
+
+
+def _has_row(kids: list[dict]) -> bool:
+    """Three or more in a row of the same first class, all with a picture?"""
+    first = lambda x: re.match(r"\S*", x["attrs"].get("class", "").strip(" "), re.A)[0]
+    for name, run in groupby(kids, key=first):
+        run = list(run)
+        if name and len(run) >= 3 and all(x["has_media"] for x in run):
+            return True
+    return False
+
+
 def nodes(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Rows of elements; a page's rows stay together in one task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         style = pa.list_(pa.struct([("specificity", pa.int32()), ("ord", pa.int32()), ("decls", pa.map_(pa.string(), pa.string()))]))
-        kinds = {"page_id": pa.int64(), "node": pa.int32(), "parent": pa.int32(), "sibling": pa.int32(), "in_label": pa.bool_(), "has_media": pa.bool_(), "hero": pa.bool_(), "styles": style, "focus": style}
+        kinds = {"page_id": pa.int64(), "node": pa.int32(), "parent": pa.int32(), "sibling": pa.int32(), "styles": style, "focus": style}
+        kinds |= {k: pa.bool_() for k in ("in_label", "has_media", "hero", "named", "root", "first_hero", "first_row")}
         kinds |= {k: pa.map_(pa.string(), pa.string()) for k in ("attrs", "inline")} | {k: pa.string() for k in ("tag", "text", "all_text", "label")}
         names = [c.split()[0] for c in re.sub(r"<[^ ]*>", "", NODES).split(", ")]
         items = lambda v: list(v.items()) if isinstance(v, dict) else v
@@ -204,63 +237,58 @@ def _finding_id(kind: str, label: Column, detail: Column) -> Column:
 
 
 def scan(pages: DataFrame, profile: UsabilityProfile | None = None, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """``page_id, kind_ord, node, id, kind, selector, ratio, width, height``, by kind and place."""
-    profile = profile or UsabilityProfile()
-    all_nodes = nodes(pages, id_col, html_col)
-    none = F.lit(None).cast("double")
-    order = iter(range(9))
-
-    def found(rows: DataFrame, kind: str, detail: Column | None = None, ratio: Column = none, width: Column = none, height: Column = none, at: Column | None = None) -> DataFrame:
-        detail = F.lit("") if detail is None else detail
-        return rows.select("page_id", F.lit(next(order)).alias("kind_ord"), (F.col("node") if at is None else at).alias("node"), _finding_id(kind, F.col("label"), detail).alias("id"), F.lit(kind).alias("kind"), F.col("label").alias("selector"), ratio.alias("ratio"), width.alias("width"), height.alias("height"))
+    """``page_id, kind_ord, node, id, kind, selector, ratio, width, height``, by kind and place.
 
+    A page is a row: rows of one id are scanned one by one, and a null page has no elements.
+    """
+    profile = profile or UsabilityProfile()
     tag, kind_of = F.col("tag"), F.lower(F.coalesce(F.try_element_at("attrs", F.lit("type")), F.lit("text")))
     interactive = F.lower(_attr("role")).isin("button", "link") | ((tag == "input") & (kind_of != "hidden")) | tag.isin("a", "button", "select", "textarea", "summary")
-    out = [found(all_nodes.where((tag == "img") & ~F.map_contains_key("attrs", "alt")), "missing_alt", _attr("src"))]
+    blank = lambda name: F.trim(_attr(name)) == ""
+    none, label, nothing = F.lit(None).cast("double"), F.col("label"), F.lit("")
+    kinds: list[Column] = []
+
+    def found(kind: str, selector: Column = label, detail: Column = nothing, ratio: Column = none, width: Column = none, height: Column = none) -> Column:
+        kinds.append(F.lit(kind))
+        return F.struct(
+            F.lit(len(kinds) - 1).alias("kind_ord"), _finding_id(kind, selector, detail).alias("id"), F.lit(kind).alias("kind"), selector.alias("selector"),
+            ratio.alias("ratio"), width.alias("width"), height.alias("height"),
+        )
+
+    each = [F.when((tag == "img") & ~F.map_contains_key("attrs", "alt"), found("missing_alt", detail=_attr("src")))]
 
     of = lambda name: colour(F.when(F.map_contains_key("inline", name), F.try_element_at("inline", F.lit(name))).otherwise(_styled(name)))
-    texts = all_nodes.where(tag.isin(TEXT_TAGS) & (F.trim("text") != "")).withColumns({"fg": of("color"), "bg": of("background-color")})
-    low = texts.where("fg is not null and bg is not null").withColumn("exact", contrast(F.col("fg"), F.col("bg"))).where(F.col("exact") < profile.min_ratio)
-    out.append(found(low, "low_contrast", F.format_string("%.4f", "exact"), F.round("exact", 4)))
+    low = lambda r: F.when(r < profile.min_ratio, found("low_contrast", detail=F.format_string("%.4f", r), ratio=F.round(r, 4)))
+    pair = let(F.struct(of("color").alias("fg"), of("background-color").alias("bg")), lambda c: F.when(c["fg"].isNotNull() & c["bg"].isNotNull(), contrast(c["fg"], c["bg"])))
+    each.append(F.when(tag.isin(TEXT_TAGS) & (F.trim("text") != ""), let(pair, low)))
 
-    sized = all_nodes.where(interactive).withColumns({"w": _length("width"), "h": _length("height")}).where("w is not null and h is not null")
-    sized = sized.where((F.col("w") < profile.min_px) | (F.col("h") < profile.min_px))
-    out.append(found(sized, "small_tap_target", F.concat(F.col("w").cast("string"), F.lit("x"), F.col("h").cast("string")), width=F.col("w"), height=F.col("h")))
+    def small(size: Column) -> Column:
+        w, h = size["w"], size["h"]
+        known = w.isNotNull() & h.isNotNull() & ((w < profile.min_px) | (h < profile.min_px))
+        return F.when(known, found("small_tap_target", detail=F.concat(w.cast("string"), F.lit("x"), h.cast("string")), width=w, height=h))
+
+    each.append(F.when(interactive, let(F.struct(_length("width").alias("w"), _length("height").alias("h")), small)))
 
     has_inline = F.map_contains_key("inline", "outline") | F.map_contains_key("inline", "outline-width")
     own = F.array(F.struct(F.lit(10_000).alias("specificity"), F.lit(10_000).alias("ord"), F.col("inline").alias("decls")))
-    focused = all_nodes.where(interactive).withColumn("block", _winner(F.concat("focus", F.when(has_inline, own).otherwise(F.slice(own, 1, 0)))))
-    value = lambda name: F.lower(F.trim(F.coalesce(F.try_element_at("block", F.lit(name)), F.lit(""))))
-    gone = F.regexp_extract(value("outline"), r"^(\S+)", 1).isin("none", "0", "0px") | value("outline-width").isin("0", "0px")
-    shadow = F.coalesce(F.map_contains_key("block", "box-shadow"), F.lit(False)) & (value("box-shadow") != "none")
-    out.append(found(focused.where(F.col("block").isNotNull() & gone & ~shadow), "suppressed_focus_outline").where(F.lit(profile.flag_outline)))
 
-    blank = lambda name: F.trim(_attr(name)) == ""
+    def unseen(block: Column) -> Column:
+        value = lambda name: F.lower(F.trim(F.coalesce(F.try_element_at(block, F.lit(name)), F.lit(""))))
+        gone = F.regexp_extract(value("outline"), r"^(\S+)", 1).isin("none", "0", "0px") | value("outline-width").isin("0", "0px")
+        shadow = F.coalesce(F.map_contains_key(block, "box-shadow"), F.lit(False)) & (value("box-shadow") != "none")
+        return F.when(block.isNotNull() & gone & ~shadow, found("suppressed_focus_outline"))
+
+    blocks = F.concat("focus", F.when(has_inline, own).otherwise(F.slice(own, 1, 0)))
+    each.append(F.when(F.lit(profile.flag_outline) & interactive, let(_winner(blocks), unseen)))
+
     plain_button = kind_of.isin("submit", "button", "reset") & (~blank("value") | ~blank("aria-label"))
     control = tag.isin("select", "textarea") | ((tag == "input") & (kind_of != "hidden") & ~plain_button)
-    unnamed = all_nodes.where(control & blank("aria-label") & ~F.col("in_label") & ~((tag == "input") & (kind_of == "image") & ~blank("alt")))
-    ids = all_nodes.where(~blank("id")).select("page_id", F.trim(_attr("id")).alias("ref")).distinct()
-    named = unnamed.select("page_id", "node", F.explode(F.split(F.trim(_attr("aria-labelledby")), r"\s+")).alias("ref")).join(ids, ["page_id", "ref"], "left_semi")
-    targets = all_nodes.where((tag == "label") & ~blank("for")).select("page_id", F.trim(_attr("for")).alias("ref")).distinct()
-    labelled = unnamed.select("page_id", "node", F.trim(_attr("id")).alias("ref")).where("ref != ''").join(targets, ["page_id", "ref"], "left_semi")
-    reached = named.select("page_id", "node").union(labelled.select("page_id", "node")).distinct()
-    out.append(found(unnamed.join(reached, ["page_id", "node"], "left_anti"), "missing_accessible_name").where(F.lit(profile.flag_name)))
-
-    roots = all_nodes.where((F.col("parent") == -1) & (tag == "html")).withColumn("nth", F.row_number().over(Window.partitionBy("page_id").orderBy("node")))
-    out.append(found(roots.where((F.col("nth") == 1) & blank("lang")).withColumn("label", F.lit("html")), "missing_lang").where(F.lit(profile.flag_lang)))
-    out.append(found(all_nodes.where(tag.isin(HEADINGS) & F.col("all_text").rlike(EMOJI)), "emoji_heading").where(F.lit(profile.flag_emoji)))
-
-    once = lambda rows: rows.groupBy("page_id", "label").agg(F.min("node").alias("node"))
-    out.append(found(once(all_nodes.where("hero")), "generic_gradient_hero").where(F.lit(profile.flag_hero)))
-    first = F.regexp_extract(F.trim(_attr("class")), r"^(\S+)", 1)
-    line = Window.partitionBy("page_id", "parent").orderBy("sibling")
-    kids = all_nodes.where("parent >= 0").select("page_id", "parent", "sibling", "has_media", first.alias("c"))
-    kids = kids.withColumn("new", (F.col("c") != F.coalesce(F.lag("c").over(line), F.lit(""))).cast("int")).withColumn("island", F.sum("new").over(line))
-    runs = kids.where("c != ''").groupBy("page_id", "parent", "island").agg(F.count(F.lit(1)).alias("n"), F.every("has_media").alias("all")).where("n >= 3 and all")
-    rows = all_nodes.join(runs.select("page_id", F.col("parent").alias("node")).distinct(), ["page_id", "node"], "left_semi")
-    out.append(found(once(rows), "generic_feature_row").where(F.lit(profile.flag_feature_row)))
-
-    every = out[0]
-    for other in out[1:]:
-        every = every.unionByName(other)
-    return every
+    unnamed = control & blank("aria-label") & ~F.col("in_label") & ~F.col("named") & ~((tag == "input") & (kind_of == "image") & ~blank("alt"))
+    each.append(F.when(F.lit(profile.flag_name) & unnamed, found("missing_accessible_name")))
+    each.append(F.when(F.lit(profile.flag_lang) & F.col("root") & blank("lang"), found("missing_lang", selector=F.lit("html"))))
+    each.append(F.when(F.lit(profile.flag_emoji) & tag.isin(HEADINGS) & F.col("all_text").rlike(EMOJI), found("emoji_heading")))
+    each.append(F.when(F.lit(profile.flag_hero) & F.col("first_hero"), found("generic_gradient_hero")))
+    each.append(F.when(F.lit(profile.flag_feature_row) & F.col("first_row"), found("generic_feature_row")))
+
+    rows = exploded(nodes(pages, id_col, html_col).select("page_id", "node", F.array_compact(F.array(*each)).alias("each")), F.col("each"), "f")
+    return rows.select("page_id", "f.kind_ord", "node", "f.id", "f.kind", "f.selector", "f.ratio", "f.width", "f.height")

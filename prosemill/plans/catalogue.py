@@ -48,16 +48,23 @@ PACK = parse_pack(
 )
 
 
+def _dealt(df: DataFrame, *by: str) -> DataFrame:
+    """Texts cost far more time than bytes: fewer files than tasks, or small shuffles that the
+    optimizer would join into few tasks, are dealt out. Tables of many files are read as they lie."""
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    if by:
+        return df.repartition(max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *by)
+    return df.repartition(tasks) if len(df.inputFiles()) < tasks else df
+
+
 def docs(spark: SparkSession, sf: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
-    # The tables are single files: the texts are dealt out before the work on them.
-    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()))
+    return _dealt(spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"))
 
 
 def talks(spark: SparkSession, sf: str) -> DataFrame:
     """A conversation as one document, a turn as a paragraph."""
-    rows = spark.read.parquet(f"{sf}/conversations.parquet").groupBy(F.col("conv_id").alias("doc_id"))
-    turns = rows.agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    rows = spark.read.parquet(f"{sf}/conversations.parquet").select(F.col("conv_id").alias("doc_id"), "turn", "text")
+    turns = _dealt(rows, "doc_id").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
     return turns.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
@@ -177,11 +184,10 @@ def pack_hits(spark, sf):
 @query(TALKS + "," + _spans(r"(?i)\bthe\b", key="doc_id, p") + "SELECT doc_id, p, start, start + length(m) AS \"end\", m AS word FROM spans")
 def phrase_spans(spark, sf):
     from prosemill.functions.regex import phrase_pattern, to_java
-    from prosemill.functions.spans import find_spans
+    from prosemill.functions.spans import exploded, find_spans
 
     rows = segment(talks(spark, sf)).paragraphs
-    spans = F.explode(find_spans(F.col("masked"), to_java(phrase_pattern(["the"]), True)))
-    rows = rows.select("doc_id", "p", "start", spans.alias("x"))
+    rows = exploded(rows, find_spans(F.col("masked"), to_java(phrase_pattern(["the"]), True)), "x")
     return rows.select("doc_id", "p", (F.col("start") + F.col("x.start")).alias("start"), (F.col("start") + F.col("x.end")).alias("end"), F.col("x.m").alias("word"))
 
 
@@ -449,7 +455,7 @@ def rewrite_verdicts(spark, sf):
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages with elements that depend on the id alone: some without a language, with pictures,
     small buttons and coloured text."""
-    rows, k = spark.read.parquet(f"{sf}/pages.parquet"), F.col("page_id")
+    rows, k = _dealt(spark.read.parquet(f"{sf}/pages.parquet")), F.col("page_id")
     html = F.when(k % 3 == 0, F.regexp_replace("html", r'<html lang="[a-z]+">', "<html>")).otherwise(F.col("html"))
     extra = F.concat(
         F.when(k % 2 == 0, '<img src="a.png">').otherwise('<img src="a.png" alt="a">'),

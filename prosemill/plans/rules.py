@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.regex import phrase_pattern, to_java
-from prosemill.functions.spans import find_spans, no_spans, not_inside
+from prosemill.functions.spans import exploded, find_spans, let, no_spans, not_inside
 from prosemill.operators.builtins import CHECKS
 from prosemill.operators.segmentation import Segmented
 from prosemill.sources.packs import Detector, Pack, Policy
@@ -30,12 +30,16 @@ def detector_spans(detector: Detector) -> Column:
         exceptions = [to_java(e, detector.ignore_case) for e in detector.exceptions]
     spans = F.filter(find_spans(text, pattern), lambda s: s["start"] < s["end"])
     for e in exceptions:
-        spans = not_inside(spans, find_spans(text, e))
+        spans = let(find_spans(text, e), _outside(spans))
     if detector.blocks is not None:
         spans = F.when(F.col("block").isin(list(detector.blocks)), spans).otherwise(no_spans())
     return spans
 
 
+def _outside(spans: Column):
+    """Exceptions are found once, not once a hit."""
+    return lambda found: not_inside(spans, found)
+
 
 def rule_hits(seg: Segmented, pack: Pack) -> DataFrame:
     """Hits of all rules detectors of enabled policies, one for each policy and span."""
@@ -49,7 +53,7 @@ def rule_hits(seg: Segmented, pack: Pack) -> DataFrame:
             )
             for p, d in patterns
         ]
-        rows = seg.paragraphs.select("doc_id", F.col("start").alias("from"), F.explode(F.flatten(F.array(*each))).alias("h"))
+        rows = exploded(seg.paragraphs.withColumnRenamed("start", "from"), F.flatten(F.array(*each)), "h")
         at = lambda c: (F.col("from") + F.col(f"h.{c}")).alias(c)
         parts.append(rows.select("doc_id", "h.policy_id", "h.detector_id", "h.detector_ord", at("start"), at("end"), "h.message", "h.replacement"))
     for p, d in pack.detectors("builtin"):
