@@ -126,7 +126,7 @@ class PieceCounter:
         # Spaces and what follows them, up to a border between letters and other signs.
         self.pattern = re.compile(rf"[ ▁]*{self.LETTER}+|[ ▁]*{self.OTHER}+|\n|[ ▁]+")
         self.before = len(self.model.encode("\n"))
-        self.counts = Memo(self.pieces)
+        self.counts = Memo(lambda p: len(self.model.encode("\n" + p)) - self.before)
 
     def _prefixed(self) -> bool:
         """Does the model put one space before a text, and change nothing in it?"""
@@ -134,17 +134,13 @@ class PieceCounter:
         probe = "\n  a  \n"
         return same("\n", ["▁", "<0x0A>"]) and "".join(self.model.encode("x" + probe, out_type=str)) == "▁x<0x0A>▁▁a▁▁<0x0A>"
 
-    def parts(self, text: str) -> Counter:
-        """A text's pre-tokens and how often each stands in it."""
-        if not text:
-            return Counter()
-        return Counter(self.pattern.findall(" " + text)) if self.split else Counter([text])
-
-    def pieces(self, part: str) -> int:
-        return len(self.model.encode("\n" + part)) - self.before if self.split else len(self.model.encode(part))
-
     def count(self, text: str) -> int:
-        total = sum(n * self.counts[part] for part, n in self.parts(text).items())
+        if not text:
+            return 0
+        if not self.split:
+            return len(self.model.encode(text))
+        frequencies = Counter(self.pattern.findall(" " + text))
+        total = sum(n * self.counts[part] for part, n in frequencies.items())
         self.counts.turn()
         return total
 
@@ -155,12 +151,14 @@ class IdCounter:
     def __init__(self, path: str):
         self.encoder = IdEncoder(path)
 
-    def parts(self, text: str) -> Counter:
-        """A text's pre-tokens and how often each stands in it."""
-        return Counter(text.replace("\n", " ").split(" ") if self.encoder.by_chunk else [text])
-
-    def pieces(self, part: str) -> int:
-        return len(self.encoder.encode(part)) // 4
+    def count(self, text: str) -> int:
+        if not self.encoder.by_chunk:
+            return len(self.encoder.encode(text)) // 4
+        chunks = self.encoder.chunks
+        total = sum(n * len(chunks[part]) for part, n in Counter(text.replace("\n", " ").split(" ")).items()) // 4
+        chunks.turn()
+        self.encoder.parts.turn()
+        return total
 
 
 @lru_cache(maxsize=2)

@@ -1,110 +1,41 @@
 """Token counts of documents without their ids.
 
-1. Documents are cut into pre-tokens, and a document becomes the frequencies of its distinct ones.
-   Documents that lie together share a list of pre-tokens, so a row holds numbers alone.
-2. Each distinct pre-token of the whole table is given to the library once; its pieces are counted.
-3. These counts are joined to the lists of pre-tokens, and the lists to the documents' frequencies;
-   a document's tokens are the sum of frequency times pieces. No ids are made anywhere.
-
-A pre-token comes to the join once for each list, not once for each document; lists and pieces are
-written out first, so that Spark can split a very frequent pre-token.
+Each worker counts the pieces of a distinct pre-token once, joins these counts to a document's
+pre-token frequencies and sums; the join is a look-up in the worker's own table, which is bounded.
+The same join by shuffle, once for the whole table, was built and measured: a document holds some
+300 distinct pre-tokens, so it moves about as much as the texts and needs more disk than the check
+tool allows (README). A document's count needs the document alone, so nothing is shuffled here.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import materialize, text_or_empty
-
-#: Documents and signs that share a list of pre-tokens, at most; a longer document has its own.
-LIST_DOCUMENTS, LIST_SIGNS = 4096, 8_000_000
-#: Longer pre-tokens hardly ever recur: they are counted where they stand, and no such string is shuffled.
-LONG_PART = 64
-
-_FREQUENCIES = "doc_id long, n_bytes long, list long, parts array<int>, times array<int>, elsewhere long, listed array<string>"
-
-
-def _lists(texts: pa.Array) -> Iterator[tuple[int, int]]:
-    """Bounds of runs of texts that share a list."""
-    first = signs = 0
-    for k, t in enumerate(texts):
-        n = t.as_buffer().size
-        if k > first and (k - first >= LIST_DOCUMENTS or signs + n > LIST_SIGNS):
-            yield first, k
-            first, signs = k, 0
-        signs += n
-    if len(texts):
-        yield first, len(texts)
-
-
-def frequencies(rows: DataFrame, tokenizer: str) -> DataFrame:
-    """Rows of ``doc_id, n_bytes, t`` as frequencies; the first row of a list holds its pre-tokens."""
+from prosemill.llm.common import text_or_empty
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from prosemill.llm.encoding import token_counter
-
-        counter, number = token_counter(tokenizer), TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for first, end in _lists(batch.column("t")):
-                index: dict[str, int] = {}
-                ends, parts, times, elsewhere = [0], [], [], []
-                for t in batch.column("t").slice(first, end - first):
-                    other = 0
-                    for part, n in counter.parts(t.as_py()).items():
-                        if len(part) > LONG_PART:
-                            other += n * counter.pieces(part)
-                        else:
-                            parts.append(index.setdefault(part, len(index)))
-                            times.append(n)
-                    ends.append(len(parts))
-                    elsewhere.append(other)
-                of = lambda x: pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.array(x, np.int32)))  # noqa: E731, B023
-                listed = pa.array([list(index)] + [None] * (end - first - 1), pa.list_(pa.string()))
-                own = batch.slice(first, end - first)
-                columns = [own.column("doc_id"), own.column("n_bytes"), pa.array([number] * (end - first), pa.int64()), of(parts), of(times), pa.array(elsewhere, pa.int64()), listed]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_bytes", "list", "parts", "times", "elsewhere", "listed"])
-                number += 1
-
-    return rows.mapInArrow(run, _FREQUENCIES)
 
+def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
 
-def _pieces(parts: DataFrame, tokenizer: str) -> DataFrame:
-    """``part, pieces`` of rows of ``part``."""
+    ``tokenizer``: path of a tokenizers ``.json`` or a sentencepiece ``.model`` file, there on all
+    executors. No begin, end or added special tokens, no truncation. A null text counts as empty
+    and has no tokens. Null and repeated ids are rows of their own; other columns are ignored. An
+    empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from prosemill.llm.encoding import token_counter
 
         counter = token_counter(tokenizer)
         for batch in batches:
-            counts = pa.array([counter.pieces(p) for p in batch.column("part").to_pylist()], pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column("part"), counts], names=["part", "pieces"])
+            counts = pa.array([counter.count(t.as_py()) for t in batch.column("t")], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_bytes"), counts], names=["doc_id", "n_bytes", "n_tokens"])
 
-    return parts.mapInArrow(run, "part string, pieces int")
-
-
-def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_bytes, n_tokens, over_limit`` for every row of ``docs``.
-
-    ``tokenizer``: path of a tokenizers ``.json`` or a sentencepiece ``.model`` file, there on all
-    executors. No begin, end or added special tokens, no truncation. A null text counts as empty
-    and has no tokens. Null and repeated ids are rows of their own; other columns are ignored. An
-    empty table gives an empty result. With a tokenizer whose tokens cross pre-tokens a text is one
-    pre-token.
-    """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("t"))
-    own = materialize(frequencies(rows, tokenizer), "token-frequencies")
-    wanted = own.where("listed is not null").select("list", F.posexplode("listed").alias("k", "part"))
-    pieces = materialize(_pieces(wanted.select("part").distinct(), tokenizer), "token-pieces")
-    found = wanted.join(pieces, "part").groupBy("list").agg(F.array_sort(F.collect_list(F.struct("k", "pieces"))).alias("found"))
-    found = materialize(found.select("list", F.transform("found", lambda x: x["pieces"]).alias("pieces")), "token-lists")
-    both = own.select("doc_id", "n_bytes", "list", "parts", "times", "elsewhere").join(found, "list", "left")
-    each = F.zip_with("parts", "times", lambda p, n: F.get("pieces", p).cast("long") * n)
-    total = F.aggregate(each, F.col("elsewhere"), lambda acc, x: acc + x)
-    return both.select("doc_id", "n_bytes", total.alias("n_tokens")).withColumn("over_limit", F.col("n_tokens") > limit)
+    counted = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    return counted.withColumn("over_limit", F.col("n_tokens") > limit)

@@ -56,24 +56,21 @@ def test_encoder_equals_library_on_random_texts():
     for _ in range(3000):
         text = "".join(rng.choice(signs) for _ in range(rng.randrange(50)))
         assert encoder.encode(text) == encoder._library(text)
-        assert counter.count(text) == len(counter.model.encode(text)) == sum(n * counter.pieces(p) for p, n in counter.parts(text).items())
+        assert counter.count(text) == len(counter.model.encode(text))
 
 
-def test_documents_share_lists_of_bounded_size(spark, monkeypatch):
-    import pyarrow as pa
-    from prosemill.llm import token_counts
+def test_memos_that_turn_over_change_no_count(spark, monkeypatch):
+    from prosemill.llm import encoding
+    from prosemill.llm.token_counts import count_tokens
     from sentencepiece import SentencePieceProcessor
 
-    texts = ["", "a" * 30, "b" * 30, "c" * 200, "d", "", "e"]
-    monkeypatch.setattr(token_counts, "LIST_SIGNS", 60)
-    monkeypatch.setattr(token_counts, "LIST_DOCUMENTS", 3)
-    runs = list(token_counts._lists(pa.array(texts)))
-    assert [k for a, b in runs for k in range(a, b)] == list(range(7)) and all(b - a <= 3 for a, b in runs)
-    assert all(b == a + 1 or sum(map(len, texts[a:b])) <= 60 for a, b in runs) and not list(token_counts._lists(pa.array([], pa.string())))
-    model, words = SentencePieceProcessor(model_file=PIECES), "the water of the house was found " * 3000
-    rows = [(k, f"{words} {k} " + "z" * (k * 40)) for k in range(30)]
-    got = {r.doc_id: r.n_tokens for r in token_counts.count_tokens(documents(spark, rows), PIECES).collect()}
-    assert got == {k: len(model.encode(t)) for k, t in rows}
+    monkeypatch.setattr(encoding, "MEMO_PARTS", 5)
+    model, words = SentencePieceProcessor(model_file=PIECES), "the water of the house was found "
+    counter = encoding.PieceCounter(PIECES)
+    texts = [f"{words * (k % 7)} {k} " + "z" * (k * 40) for k in range(60)]
+    assert [counter.count(t) for t in texts] == [len(model.encode(t)) for t in texts]
+    got = {r.doc_id: r.n_tokens for r in count_tokens(documents(spark, [(1, words * 60_000), (2, None), (3, "")]), PIECES).collect()}
+    assert got == {1: len(model.encode(words * 60_000)), 2: 0, 3: 0}
 
 
 @pytest.mark.parametrize("size", [4, 2048])
