@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from prosemill.functions.spans import utf16_length
 from prosemill.operators import calibration, classifier, rewrites, usability
+from prosemill.operators import word_lists as L
 from prosemill.operators.builtins import CHECKS
 from prosemill.operators.segmentation import Segmented, segment
 from prosemill.plans.check import check, findings, results
@@ -68,6 +69,37 @@ def talks(spark: SparkSession, sf: str) -> DataFrame:
     return turns.select("doc_id", F.array_join(F.transform("t", lambda x: x["text"]), "\n\n").alias("text"))
 
 
+#: Paragraphs that hold what the built-in checks look for, and what they must leave alone.
+PLANTED = [
+    "In conclusion, it works. It is in conclusion a test.",
+    "When it comes to doors, push. At the end of the day it closed. In today's plan it rains.",
+    "First, open it. Second, close it. Third, leave.",
+    "First, open it. Third, leave. Second, no.",
+    "This will truly transform the work. It can transform it very well. It will very much leverage it.",
+    "Everyone knows the door is open. It is proven [1] to work. It is proven to work.",
+    "The test clearly shows it. Never open the door. It never would close. The always-on lamp is on. It always rains. It is always so, according to Ann.",
+    "Sales rose 12% there. Sales rose 12% in 2021. Pay 3 times more. Ticket #7 took 30 times as long. We have 1500 users now. About 20 users came.",
+    "The lamp was painted red. The doors are being made by hand. He was red. It has been seen there.",
+    "Open the door and then close it. Press the key; hold the lamp. Read it and weep. The door and lamp.",
+    "You open the door. The lamp is red.",
+    "It is not uncommon to wait. Nobody said so. We don't see nothing there. It was never at all unlikely. It is not big and not impossible.",
+    "The NASA plan (NASA) began. The ESA plan and the ESA lamp. The World Body (WBO) met. The WBO left. A US plan. All PCs (small ones) left.",
+    "I am late. It is here, that is, not there. Do not go. That is all. We cannot see. They are not here. It is not so. You are right.",
+    "A lamp, not a door. A door, not a lamp. Red, not blue.",
+    "Test the lamp. The test of a lamp. A test will test it. This of that.",
+    "Thing one is here. The thing is there. Reading is good.",
+    "One two three four five. Six seven eight nine ten. One two three four six. Two three four five six. Six five four three two. Four two one five six.",
+    "Really, it is really very big. It is really, really here. Really good.",
+    "A lamp \U0001f4a1 is on. A sign \u2705 is \U0001f680\U0001f680 here.",
+]
+
+
+def seeded(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations, each with one more paragraph by its id."""
+    texts = F.array(*map(F.lit, PLANTED))
+    return talks(spark, sf).withColumn("text", F.concat("text", F.lit("\n\n"), F.get(texts, (F.col("doc_id") % len(PLANTED)).cast("int"))))
+
+
 def query(sql: str | None = None, name: str | None = None) -> Callable[[Query], Query]:
     def put(f: Query) -> Query:
         QUERIES[name or f.__name__] = f
@@ -118,6 +150,11 @@ def _sentences(text: str) -> str:
 
 DOCS = _sentences("SELECT doc_id, text FROM documents")
 TALKS = _sentences("SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id")
+_PLANTED = ", ".join("'" + t.replace("'", "''") + "'" for t in PLANTED)
+SEEDED = _sentences(
+    f"SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || ([{_PLANTED}])[conv_id % {len(PLANTED)} + 1] AS text "
+    "FROM conversations GROUP BY conv_id"
+)
 #: All matches of a pattern in ``source`` with their places.
 _SPANS = r"""
     cut AS (SELECT {key}, start AS s0, string_split_regex({of}, '{re}') AS gaps, regexp_extract_all({of}, '{re}') AS found FROM {rows}),
@@ -176,7 +213,26 @@ def protected_regions(spark, sf):
 # --- rules lane ----------------------------------------------------------------------------------
 
 
-@query()
+_UNICODE_EDGE = r"[\p{L}\p{N}_]"
+#: Hits of ``PACK`` over documents of one paragraph: word borders beside letters beyond ASCII are checked by hand.
+_PACK_HITS = (
+    DOCS
+    + "," + _spans(r"(?i)\b(?:of\s+that|of\s+the|of)\b", key="doc_id, p")
+    + rf""", cut2 AS (SELECT doc_id, p, start AS s0, string_split_regex(source, '\b[a-z]+tion\b') AS gaps, regexp_extract_all(source, '\b[a-z]+tion\b') AS found FROM para),
+    each2 AS (SELECT *, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM cut2),
+    tion AS (SELECT doc_id, p, m, CAST(s0 + list_sum([length(g) for g in gaps[1:k]]) + coalesce(list_sum([length(f) for f in found[1:k-1]]), 0) AS INTEGER) AS start FROM each2),
+    all_hits AS (
+        SELECT doc_id, p, 'of-the' AS policy_id, CASE WHEN lower(m) = 'of' THEN 'phrase' ELSE 'better' END AS detector_id, start, m, CASE WHEN lower(m) = 'of' THEN NULL ELSE 'of a' END AS replacement
+        FROM spans WHERE NOT regexp_matches(m, '(?i)that$')
+        UNION ALL SELECT doc_id, p, 'tion', 'regex', start, m, NULL FROM tion WHERE m NOT LIKE 'the%'),
+    hits AS (
+        SELECT h.doc_id, policy_id, detector_id, h.start, h.start + length(m) AS "end", replacement FROM all_hits h JOIN para USING (doc_id, p)
+        WHERE NOT regexp_matches(substr(source, h.start - para.start, 1), '{_UNICODE_EDGE}') AND NOT regexp_matches(substr(source, h.start - para.start + length(m) + 1, 1), '{_UNICODE_EDGE}'))
+    """
+)
+
+
+@query(_PACK_HITS + "SELECT * FROM hits")
 def pack_hits(spark, sf):
     return rule_hits(segment(docs(spark, sf)), PACK).select("doc_id", "policy_id", "detector_id", "start", "end", "replacement")
 
@@ -201,15 +257,18 @@ def check_results(spark, sf):
     return results(talks(spark, sf), PACK)
 
 
-@query()
+@query(_PACK_HITS + "SELECT policy_id, CASE policy_id WHEN 'tion' THEN 'warn' ELSE 'info' END AS severity, count(*) AS findings, count(DISTINCT doc_id) AS documents FROM hits GROUP BY policy_id")
 def findings_by_policy(spark, sf):
     found = check(docs(spark, sf), PACK)
     return found.groupBy("policy_id", "severity").agg(F.count(F.lit(1)).alias("findings"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query()
+@query(
+    _PACK_HITS + """, held AS (SELECT h.doc_id, h.policy_id, h.start, h."end", bool_or(s.start <= h.start AND h."end" <= s.start + length(s.source)) AS inside FROM hits h JOIN sent s USING (doc_id) GROUP BY ALL)
+    SELECT CASE WHEN inside THEN 'sentence' ELSE 'paragraph' END AS segment_kind, count(*) AS n FROM held GROUP BY 1"""
+)
 def located_by_kind(spark, sf):
-    seg = segment(talks(spark, sf))
+    seg = segment(docs(spark, sf))
     return findings(rule_hits(seg, PACK), seg, PACK).groupBy("segment_kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -222,7 +281,7 @@ for _name in bundled():
 # --- built-in checks -----------------------------------------------------------------------------
 
 
-def _check(name: str, params: dict | None = None, sql: str | None = None, of: Callable = talks) -> None:
+def _check(name: str, params: dict | None = None, sql: str | None = None, of: Callable = seeded) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return CHECKS[name](segment(of(spark, sf)), params or {}, None).select("doc_id", "start", "end")
 
@@ -235,19 +294,19 @@ _CITED = r"(?i)https?://|\[[0-9]+\]|according to|\([12][0-9]{3}\)|\b20[0-9]{2}\b
 _VERBS = "SELECT unnest(string_split('{}', ' '))"
 _FLAT = r"regexp_replace(source, '\s+', ' ', 'g')"
 
-_check("empty_leadin", sql=TALKS + _ENDS + " FROM sent WHERE regexp_matches(source, '(?i)^(?:In today''s|It is important to note|When it comes to|At the end of the day|In conclusion)\\b')")
-_check("list_shaped_prose", sql=TALKS + _ENDS + rf" FROM para WHERE regexp_matches({_FLAT}, '(?i)\bFirst,\s+.+\bSecond,\s+.+\bThird,\s+')")
-_check("vague_claim", sql=TALKS + _ENDS + rf" FROM sent WHERE regexp_matches({_FLAT}, '(?i)\b(?:very|significantly|dramatically|truly|really)\b.+\b(?:transform|revolutionize|leverage)\b')")
+_check("empty_leadin", sql=SEEDED + _ENDS + " FROM sent WHERE regexp_matches(source, '(?i)^(?:In today''s|It is important to note|When it comes to|At the end of the day|In conclusion)\\b')")
+_check("list_shaped_prose", sql=SEEDED + _ENDS + rf" FROM para WHERE regexp_matches({_FLAT}, '(?i)\bFirst,\s+.+\bSecond,\s+.+\bThird,\s+')")
+_check("vague_claim", sql=SEEDED + _ENDS + rf" FROM sent WHERE regexp_matches({_FLAT}, '(?i)\b(?:very|significantly|dramatically|truly|really)\b.+\b(?:transform|revolutionize|leverage)\b')")
 _check(
     "unsupported_certainty",
-    sql=TALKS + _ENDS + rf""" FROM sent WHERE NOT regexp_matches(source, '{_CITED}') AND (
+    sql=SEEDED + _ENDS + rf""" FROM sent WHERE NOT regexp_matches(source, '{_CITED}') AND (
         regexp_matches(source, '(?i)\b(?:everyone knows|undeniably|proven)\b') OR regexp_matches(source, '(?i)\bclearly\s+(?:shows|demonstrates|proves|will|is)\b')
         OR (regexp_matches(regexp_replace(source, '(?i)\b(?:always|never)-\w+', ' ', 'g'), '(?i)\b(?:always|never)\b')
             AND NOT regexp_matches(source, '(?i)\bnever\s+(?:had|would|could|should|might|may|will|can)\b') AND NOT regexp_matches(source, '^Never\s+\w')))""",
 )
 _check(
     "missing_attribution",
-    sql=TALKS + _ENDS + rf""" FROM sent WHERE NOT regexp_matches(source, '{_CITED}') AND (regexp_matches(source, '\d+(?:\.\d+)?%')
+    sql=SEEDED + _ENDS + rf""" FROM sent WHERE NOT regexp_matches(source, '{_CITED}') AND (regexp_matches(source, '\d+(?:\.\d+)?%')
         OR (NOT regexp_matches(source, '#\d+\b') AND (regexp_matches(source, '(?i)\d+\s*[×x]\b|\d+\s+times\b')
             OR regexp_matches(source, '(?i)\b\d{{3,}}\s+(?:users|ms|seconds|minutes|hours|days|requests|tokens)\b'))))""",
 )
@@ -255,20 +314,20 @@ _PARTICIPLES = (
     "made|done|given|taken|held|kept|put|set|sent|shown|known|seen|written|built|found|paid|told|brought|bought|caught|taught|thought|lost|begun|chosen|"
     "driven|eaten|forgotten|gotten|hidden|broken|spoken|stolen|worn|torn|drawn|grown|thrown|sold|shut|led|fed|laid|said|heard|meant|understood|struck|hung|won|spent|bound"
 )
-_check("passive_voice", sql=TALKS + _ENDS + rf" FROM sent WHERE regexp_matches(source, '(?i)\b(?:is|are|was|were|be|been|being)\s+(?:\w+ed|{_PARTICIPLES})\b')")
-_check("sentence_length", {"maxWords": 12}, TALKS + _ENDS + f" FROM sent WHERE {_WORDS.format('source')} > 12")
+_check("passive_voice", sql=SEEDED + _ENDS + rf" FROM sent WHERE regexp_matches(source, '(?i)\b(?:is|are|was|were|be|been|being)\s+(?:\w+ed|{_PARTICIPLES})\b')")
+_check("sentence_length", {"maxWords": 12}, SEEDED + _ENDS + f" FROM sent WHERE {_WORDS.format('source')} > 12")
 _check(
     "average_sentence_length", {"maxWords": 8, "minSentences": 2},
-    TALKS + f"""SELECT doc_id, 0 AS start, CAST(max(length(text)) AS INTEGER) AS "end" FROM sent JOIN whole USING (doc_id)
+    SEEDED + f"""SELECT doc_id, 0 AS start, CAST(max(length(text)) AS INTEGER) AS "end" FROM sent JOIN whole USING (doc_id)
         GROUP BY doc_id HAVING count(*) >= 2 AND avg({_WORDS.format('source')}) > 8""",
 )
 _check(
     "paragraph_length", {"maxSentences": 4, "maxWords": 30},
-    TALKS + f"""{_ENDS} FROM para WHERE (SELECT count(*) FROM sent s WHERE s.doc_id = para.doc_id AND s.p = para.p) > 4 OR {_WORDS.format('source')} > 30""",
+    SEEDED + f"""{_ENDS} FROM para WHERE (SELECT count(*) FROM sent s WHERE s.doc_id = para.doc_id AND s.p = para.p) > 4 OR {_WORDS.format('source')} > 30""",
 )
 _check(
     "reading_grade_level", {"maxGrade": 6, "minWords": 20},
-    TALKS + f""", w AS (SELECT doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+(?:[''’-][a-z0-9]+)*')) AS w FROM sent),
+    SEEDED + f""", w AS (SELECT doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+(?:[''’-][a-z0-9]+)*')) AS w FROM sent),
         y AS (SELECT doc_id, w, len(regexp_extract_all(w, '[aeiouy]+')) AS g FROM w),
         t AS (SELECT doc_id, count(*) AS n, sum(greatest(1, g - CASE WHEN regexp_matches(w, 'e$') AND NOT regexp_matches(w, '(?:le|ee|ye)$') AND g > 1 THEN 1 ELSE 0 END)) AS y FROM y GROUP BY doc_id),
         c AS (SELECT doc_id, count(*) AS s FROM sent GROUP BY doc_id)
@@ -282,42 +341,80 @@ _NEGATIVE = (
 )
 _check(
     "double_negative",
-    sql=TALKS + "," + _spans(rf"(?i)\b(?:not|never|no|\w+n[''’]t)\b(?:\s+\w+){{0,2}}?\s+{_NEGATIVE.replace('{{', '{').replace('}}', '}')}\b") + 'SELECT doc_id, start, start + length(m) AS "end" FROM spans',
+    sql=SEEDED + "," + _spans(rf"(?i)\b(?:not|never|no|\w+n[''’]t)\b(?:\s+\w+){{0,2}}?\s+{_NEGATIVE.replace('{{', '{').replace('}}', '}')}\b") + 'SELECT doc_id, start, start + length(m) AS "end" FROM spans',
 )
 _check(
     "ing_form", {"allow": ["reading"]},
-    TALKS + "," + _spans(r"\b[A-Za-z]{2,}ing\b") + """SELECT doc_id, start, start + length(m) AS "end" FROM spans WHERE lower(m) NOT IN
+    SEEDED + "," + _spans(r"\b[A-Za-z]{2,}ing\b") + """SELECT doc_id, start, start + length(m) AS "end" FROM spans WHERE lower(m) NOT IN
         (SELECT unnest(string_split('reading anything bring ceiling cling during evening everything fling king morning nothing ping pudding ring sing sling something spring sting string swing thing things wedding wing', ' ')))""",
 )
-_check("no_emojis", sql=DOCS + "," + _spans(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]") + 'SELECT doc_id, start, start + length(m) AS "end" FROM spans', of=docs)
+_check("no_emojis", sql=SEEDED + "," + _spans(r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}]") + 'SELECT doc_id, start, start + length(m) AS "end" FROM spans')
 _check(
     "contrast_cap", {"max": 0},
-    TALKS + "," + _spans(r"(?i),\s*not\s+\w+") + 'SELECT doc_id, start, start + length(m) AS "end" FROM spans QUALIFY count(*) OVER (PARTITION BY doc_id) > 0',
+    SEEDED + "," + _spans(r"(?i),\s*not\s+\w+") + 'SELECT doc_id, start, start + length(m) AS "end" FROM spans QUALIFY count(*) OVER (PARTITION BY doc_id) > 0',
 )
 _check(
     "missing_article", {"nouns": ["Thing", "what", "reading"]},
-    TALKS + "," + _spans("[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*", "sent", "doc_id, p, s") + """SELECT doc_id, start, start + length(m) AS "end" FROM spans
+    SEEDED + "," + _spans("[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*", "sent", "doc_id, p, s") + """SELECT doc_id, start, start + length(m) AS "end" FROM spans
         JOIN
         (SELECT doc_id, p, s, min(start) AS start FROM spans GROUP BY ALL) f USING (doc_id, p, s, start) WHERE lower(m) IN ('thing', 'what', 'reading')""",
 )
-_check("one_meaning", {"words": [{"word": "test", "meaning": "noun"}, {"word": "of", "meaning": "verb"}]})
-_check("undefined_acronym", {"allow": ["GNU"]}, of=docs)
-_check("multiple_instructions", {"wholeDocument": True})
+_listed = lambda words: ", ".join(f"'{w}'" for w in words)
+_WORD_SPANS = _spans("[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*", "sent", "doc_id, p, s")
+_check(
+    "one_meaning", {"words": [{"word": "test", "meaning": "noun"}, {"word": "of", "meaning": "verb"}]},
+    SEEDED + "," + _WORD_SPANS + f""", around AS (SELECT doc_id, start, m, lower(m) AS w, lag(lower(m)) OVER o AS prior, lead(lower(m)) OVER o AS next FROM spans WINDOW o AS (PARTITION BY doc_id, p, s ORDER BY start))
+        SELECT doc_id, start, start + length(m) AS "end" FROM around WHERE (w = 'of' AND prior IN ({_listed(L.DETERMINERS)}))
+        OR (w = 'test' AND (prior IN ({_listed(L.VERB_MARKERS)}) OR (prior IS NULL AND next IN ({_listed(L.DETERMINERS)}))))""",
+)
+_check(
+    "undefined_acronym", {"allow": ["GNU"]},
+    SEEDED + "," + _spans(r"\b[A-Z][A-Z0-9]*[A-Z](?:s)?\b", key="doc_id, p") + f""", uses AS (
+            SELECT doc_id, regexp_replace(m, 's$', '') AS name, m, s.start, substr(source, 1, s.start - para.start) AS before, substr(source, s.start - para.start + length(m) + 1) AS after
+            FROM spans s JOIN para USING (doc_id, p)),
+        first AS (SELECT *, row_number() OVER (PARTITION BY doc_id, name ORDER BY start) AS nth FROM uses
+            WHERE NOT regexp_matches(before, '{_UNICODE_EDGE}$') AND NOT regexp_matches(after, '^{_UNICODE_EDGE}') AND length(name) >= 2 AND name NOT IN ({_listed([*L.KNOWN_ACRONYMS, "GNU"])}))
+        SELECT doc_id, start, start + length(m) AS "end" FROM first WHERE nth = 1
+        AND NOT (regexp_matches(before, '\\(\\s*$') AND regexp_matches(after, '^\\s*\\)')) AND NOT regexp_matches(after, '^\\s*\\(\\s*[A-Za-z]')""",
+)
+_check(
+    "multiple_instructions", {"wholeDocument": True},
+    SEEDED + f""", steps AS (SELECT doc_id, start, source, unnest(string_split_regex({_FLAT}, '(?i)\\b(?:and\\s+then|and|then|or)\\b|;')) AS x,
+            generate_subscripts(string_split_regex({_FLAT}, '(?i)\\b(?:and\\s+then|and|then|or)\\b|;'), 1) AS k FROM sent)
+        SELECT DISTINCT doc_id, start, start + length(source) AS "end" FROM steps WHERE k > 1 AND lower(regexp_extract(x, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) IN ({_listed(L.IMPERATIVES)})""",
+)
 _check(
     "imperative_steps", {"wholeDocument": True},
-    TALKS + _ENDS + """ FROM sent WHERE s = 0 AND lower(regexp_extract(source, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) IN
+    SEEDED + _ENDS + """ FROM sent WHERE s = 0 AND lower(regexp_extract(source, '[A-Za-z0-9]+(?:[''’-][A-Za-z0-9]+)*')) IN
         (SELECT unnest(string_split('you we i the a an it they he she there this that these those user users operator operators person people', ' ')))""",
 )
 _check(
     "redundancy",
-    sql=TALKS + """, tok AS (SELECT doc_id, p, s, start, source, regexp_extract_all(lower(source), '[a-z0-9'']+') AS t FROM sent),
+    sql=SEEDED + """, tok AS (SELECT doc_id, p, s, start, source, regexp_extract_all(lower(source), '[a-z0-9'']+') AS t FROM sent),
         g AS (SELECT doc_id, p, s, start, source, unnest(list_distinct([array_to_string(t[i:i+3], ' ') for i in range(1, len(t) - 2)])) AS g FROM tok WHERE len(t) >= 4),
         sh AS (SELECT doc_id, g FROM g GROUP BY doc_id, g HAVING count(*) > 1 AND NOT (min(lower(regexp_replace(source, '\\s+', ' ', 'g'))) = max(lower(regexp_replace(source, '\\s+', ' ', 'g')))
             AND len(string_split(min(lower(regexp_replace(source, '\\s+', ' ', 'g'))), ' ')) <= 12))
         SELECT DISTINCT doc_id, start, start + length(source) AS "end" FROM g WHERE (doc_id, g) IN (SELECT (doc_id, g) FROM sh)""",
 )
-_check("overused_words")
-_check("uncontracted_forms")
+_check(
+    "overused_words",
+    sql=SEEDED + "," + _spans(rf"(?i)\b(?:{'|'.join(L.CRUTCH_WORDS)})\b") + f""", total AS (SELECT doc_id, sum(len(string_split({_FLAT}, ' '))) AS n FROM para GROUP BY doc_id),
+        uses AS (SELECT doc_id, lower(m) AS w, count(*) AS k, min(start) AS start FROM spans GROUP BY ALL)
+        SELECT doc_id, start, start + length(w) AS "end" FROM uses JOIN total USING (doc_id) WHERE k > greatest(3, round_even(n / 250, 0))""",
+)
+_BEFORE_NOT = "do|does|did|can|will|would|should|could|is|are|was|were|have|has|had"
+_check(
+    "uncontracted_forms",
+    sql=SEEDED + f""", {_spans(r"(?i)\b(?:(?:that|it|there|who|what) is|(?:they|we|you) are|i am|let us)\b", key="doc_id, p")},
+        second AS (SELECT doc_id, p, start AS s0, string_split_regex(source, '(?i)\\b(?:cannot|(?:{_BEFORE_NOT}) not)\\b') AS gaps, regexp_extract_all(source, '(?i)\\b(?:cannot|(?:{_BEFORE_NOT}) not)\\b') AS found FROM para),
+        split AS (SELECT *, unnest(found) AS m, generate_subscripts(found, 1) AS k FROM second),
+        nots AS (SELECT doc_id, p, m, CAST(s0 + list_sum([length(g) for g in gaps[1:k]]) + coalesce(list_sum([length(f) for f in found[1:k-1]]), 0) AS INTEGER) AS start FROM split),
+        forms AS (
+            SELECT s.doc_id, s.start, s.start + length(m) AS "end", CASE WHEN lower(m) LIKE '% is' THEN 1 ELSE 3 END AS ord
+            FROM spans s JOIN para USING (doc_id, p) WHERE NOT (lower(m) = 'that is' AND substr(source, s.start - para.start + length(m) + 1, 1) = ',')
+            UNION ALL SELECT doc_id, start, start + length(m), 2 FROM nots)
+        SELECT doc_id, start, "end" FROM forms b WHERE NOT EXISTS (SELECT 1 FROM forms o WHERE o.doc_id = b.doc_id AND o.ord < b.ord AND o.start < b."end" AND b.start < o."end")""",
+)
 _check("uniform_cadence")
 _check("information_density", {"minWords": 20, "minLexicalDensity": 0.6})
 
@@ -405,7 +502,16 @@ def lane_status(spark, sf):
     return classifier.lane_status(classifier.jobs(segment(talks(spark, sf)), QUESTION_PACK), None).select("doc_id", "status")
 
 
-@query()
+_ASKED = {scope: len(json.dumps(classifier.questions(QUESTION_PACK, scope, "paragraph"), sort_keys=True, ensure_ascii=False)) for scope in ("sentence", "document")}
+
+
+@query(
+    TALKS + f""", flat AS (SELECT doc_id, p, {_FLAT} AS t FROM para),
+    j AS (SELECT doc_id, 0 AS rank, p, s, CAST(ceil((length(regexp_replace(source, '\\s+', ' ', 'g')) + length(t) + {_ASKED['sentence']}) / 4) AS BIGINT) AS tokens FROM sent JOIN flat USING (doc_id, p)
+        UNION ALL SELECT doc_id, 2, -1, -1, CAST(ceil((sum(length(t)) + 2 * (count(*) - 1) + {_ASKED['document']}) / 4) AS BIGINT) FROM flat GROUP BY doc_id),
+    r AS (SELECT doc_id, tokens, CAST(row_number() OVER o AS INTEGER) AS ord, CAST(sum(tokens) OVER (o ROWS UNBOUNDED PRECEDING) AS BIGINT) AS spent FROM j WINDOW o AS (PARTITION BY doc_id ORDER BY rank, p, s))
+    SELECT doc_id, ord, tokens, spent, spent <= 500 AS asked FROM r"""
+)
 def budget_prefix(spark, sf):
     return classifier.within_budget(classifier.jobs(segment(talks(spark, sf)), QUESTION_PACK), 500).select("doc_id", "ord", "tokens", "spent", "asked")
 
