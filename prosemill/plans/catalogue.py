@@ -489,7 +489,7 @@ _JUDGED = """, j AS (SELECT doc_id, 's' AS detector_id, start, regexp_replace(so
 def classifier_coverage(spark, sf):
     rows = classifier.jobs(segment(talks(spark, sf)), QUESTION_PACK)
     answers = classifier.ask(rows, stand_in_model)
-    return classifier.judged(rows, answers, QUESTION_PACK).where("(detector_id = 's') = (segment_kind = 'sentence')").select("doc_id", "detector_id", "start", "probability", "status")
+    return classifier.judged(rows, answers, QUESTION_PACK).select("doc_id", "detector_id", "start", "probability", "status")
 
 
 @query(TALKS + "SELECT doc_id, count(*) + 1 AS jobs FROM sent GROUP BY doc_id")
@@ -497,9 +497,22 @@ def classifier_jobs(spark, sf):
     return classifier.jobs(segment(talks(spark, sf)), QUESTION_PACK).groupBy("doc_id").agg(F.count(F.lit(1)).alias("jobs"))
 
 
-@query("SELECT DISTINCT conv_id AS doc_id, 'unavailable' AS status FROM conversations")
+def failing_model(batch: pd.DataFrame) -> list[str]:
+    """The stand-in, out of order for targets that hold "the"."""
+    if any("the" in t for t in batch["target"]):
+        raise RuntimeError("out of order")
+    return stand_in_model(batch)
+
+
+@query(
+    TALKS + """, j AS (SELECT doc_id, contains(regexp_replace(source, '\\s+', ' ', 'g'), 'the') AS bad FROM sent
+        UNION ALL SELECT doc_id, bool_or(contains(regexp_replace(source, '\\s+', ' ', 'g'), 'the')) FROM para GROUP BY doc_id),
+    c AS (SELECT doc_id, count(*) AS n, count_if(bad) AS failed FROM j GROUP BY doc_id)
+    SELECT doc_id, CASE WHEN failed = n THEN 'failed' WHEN failed > 0 THEN 'partial' ELSE 'ran' END AS status,
+        CASE WHEN failed = n THEN 'RuntimeError: out of order' WHEN failed > 0 THEN failed || ' request(s) failed: RuntimeError: out of order' END AS reason, n - failed AS requests FROM c"""
+)
 def lane_status(spark, sf):
-    return classifier.lane_status(classifier.jobs(segment(talks(spark, sf)), QUESTION_PACK), None).select("doc_id", "status")
+    return classifier.run_lane(segment(talks(spark, sf)), QUESTION_PACK, failing_model).status.select("doc_id", "status", "reason", "requests")
 
 
 _ASKED = {scope: len(json.dumps(classifier.questions(QUESTION_PACK, scope, "paragraph"), sort_keys=True, ensure_ascii=False)) for scope in ("sentence", "document")}
@@ -517,19 +530,32 @@ def budget_prefix(spark, sf):
 
 
 @query(
-    """WITH t AS (SELECT conv_id * 1000 + turn AS target_id, text, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM conversations),
-    e AS (SELECT DISTINCT text AS example, list_distinct(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS w FROM benchmark),
-    x AS (SELECT target_id, example, len(list_intersect(t.w, e.w)) AS c, len(t.w) + len(e.w) AS n FROM t, e WHERE t.text <> example),
-    r AS (SELECT target_id, example, c / (n - c)::DOUBLE AS f FROM x WHERE c > 0)
-    SELECT target_id, CAST(row_number() OVER o AS INTEGER) AS rank, example, round(f, 9) AS similarity FROM r
-    WINDOW o AS (PARTITION BY target_id ORDER BY f DESC, example) QUALIFY row_number() OVER o <= 4"""
+    """WITH t AS (SELECT conv_id * 1000 + turn AS target_id, 'd' || (turn % 2) AS detector_id, text, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS w FROM conversations),
+    e AS (SELECT DISTINCT 'd' || (item_id % 2) AS detector_id, text AS example, item_id % 3 = 0 AS violates, list_distinct(regexp_extract_all(lower(text), '[a-z0-9'']+')) AS w FROM benchmark),
+    x AS (SELECT target_id, detector_id, example, violates, len(list_intersect(t.w, e.w)) AS c, len(t.w) + len(e.w) AS n FROM t JOIN e USING (detector_id) WHERE t.text <> example),
+    r AS (SELECT *, CASE WHEN c = 0 THEN 0 ELSE c / (n - c)::DOUBLE END AS f FROM x)
+    SELECT target_id, 'p' AS policy_id, detector_id, CAST(row_number() OVER o AS INTEGER) AS rank, example, violates, round(f, 9) AS similarity FROM r
+    WINDOW o AS (PARTITION BY target_id, detector_id ORDER BY f DESC, example, violates) QUALIFY row_number() OVER o <= 4"""
 )
 def few_shot_top_k(spark, sf):
-    targets = spark.read.parquet(f"{sf}/conversations.parquet").select((F.col("conv_id") * 1000 + F.col("turn")).alias("target_id"), "text")
-    found = classifier.few_shot(targets, spark.read.parquet(f"{sf}/benchmark.parquet"))
+    keyed = lambda df, k: df.withColumns({"policy_id": F.lit("p"), "detector_id": F.concat(F.lit("d"), F.col(k) % 2)})
+    targets = keyed(spark.read.parquet(f"{sf}/conversations.parquet"), "turn").withColumn("target_id", F.col("conv_id") * 1000 + F.col("turn"))
+    library = keyed(spark.read.parquet(f"{sf}/benchmark.parquet"), "item_id").withColumn("violates", F.col("item_id") % 3 == 0)
+    found = classifier.few_shot(targets, library)
     return found.withColumn("similarity", F.round("similarity", 9))
 
 
+@query(
+    TALKS + _JUDGED + """, hit AS (SELECT doc_id, detector_id, CASE WHEN x >= hi THEN 'violation' ELSE 'review' END AS status FROM q WHERE x >= hi OR x >= lo)
+    SELECT doc_id, 'classifier' AS lane, 'hype' AS policy_id, detector_id, CASE detector_id WHEN 's' THEN 'sentence' ELSE 'document' END AS segment_kind, status, count(*) AS n FROM hit GROUP BY ALL"""
+)
+def classifier_findings(spark, sf):
+    seg = segment(talks(spark, sf))
+    lane = classifier.run_lane(seg, QUESTION_PACK, stand_in_model)
+    found = findings(rule_hits(seg, QUESTION_PACK), seg, QUESTION_PACK, lane.hits)
+    return found.groupBy("doc_id", "lane", "policy_id", "detector_id", "segment_kind", "status").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query(
     TALKS + """, now AS (SELECT doc_id, substring(sha256(regexp_replace(source, '\\s+', ' ', 'g')), 1, 16) AS h FROM sent)
         SELECT doc_id, count(DISTINCT h) AS changed FROM now WHERE h NOT IN (SELECT h FROM now WHERE doc_id % 2 = 0) GROUP BY doc_id"""

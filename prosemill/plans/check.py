@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
-from prosemill.functions.spans import find_spans, normalized, utf16_length, utf16_offset
+from prosemill.functions.spans import find_spans, normalized, utf16_length
+from prosemill.operators.classifier import Lane, run_lane
 from prosemill.operators.segmentation import Segmented, segment
 from prosemill.plans.rules import rule_hits
 from prosemill.sources.packs import Pack
@@ -42,9 +43,21 @@ def locate(hits: DataFrame, seg: Segmented) -> DataFrame:
     )
 
 
-def findings(hits: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
-    """Findings with ids that depend on the finding's own text alone, so they survive edits elsewhere."""
-    rows = locate(hits, seg)
+def _of_segments(hits: DataFrame, seg: Segmented) -> DataFrame:
+    """Hits of the classifier lane belong to the segment that was asked about."""
+    ids = seg.rows().where("kind != 'document'").select("doc_id", F.col("kind").alias("segment_kind"), "p", "s", F.col("id").alias("segment_id"), F.col("source").alias("segment_source"))
+    rows = hits.join(ids, ["doc_id", "segment_kind", "p", "s"], "left").drop("p", "s")
+    return rows.withColumns({"segment_id": F.coalesce("segment_id", F.lit("doc")), "segment_source": F.coalesce("segment_source", F.lit("")), "segment_start": F.col("start")})
+
+
+def findings(hits: DataFrame, seg: Segmented, pack: Pack, judged: DataFrame | None = None) -> DataFrame:
+    """Findings with ids that depend on the finding's own text alone, so they survive edits elsewhere.
+
+    ``hits``: of the rules lane; ``judged``: of the classifier lane.
+    """
+    rows = locate(hits, seg).withColumns({"lane": F.lit("rules"), "status": F.lit("violation"), "probability": F.lit(None).cast("double"), "raw_probability": F.lit(None).cast("double")})
+    if judged is not None:
+        rows = rows.unionByName(_of_segments(judged, seg).withColumn("lane", F.lit("classifier")))
     rows = rows.withColumn("excerpt", F.substr("segment_source", F.col("start") - F.col("segment_start") + 1, F.col("end") - F.col("start")))
     rows = rows.withColumn("excerpt_text", normalized(F.col("excerpt")))
     same = Window.partitionBy("doc_id", "policy_id", "detector_id", "segment_id", "excerpt_text").orderBy("start", "end")
@@ -56,7 +69,6 @@ def findings(hits: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
     wide = seg.nested.where(F.col("text").rlike(ASTRAL)).select("doc_id", F.transform(find_spans(F.col("text"), ASTRAL), lambda s: s["start"]).alias("wide"))
     rows = rows.join(wide, "doc_id", "left")
     u16 = lambda c: F.when(F.col("wide").isNull(), F.col(c)).otherwise(F.col(c) + F.size(F.filter("wide", lambda w: w < F.col(c))))
-    extra = [c for c in ("status", "probability", "raw_probability") if c in rows.columns]
     return rows.select(
         "doc_id",
         F.concat(F.lit("f-"), F.substring(F.sha2(key, 256), 1, 16)).alias("id"),
@@ -75,7 +87,10 @@ def findings(hits: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
         "occurrence",
         "message",
         "replacement",
-        *extra,
+        "lane",
+        "status",
+        "probability",
+        F.when(F.col("raw_probability") != F.col("probability"), F.col("raw_probability")).alias("raw_probability"),
     )
 
 
@@ -85,42 +100,66 @@ def shared(seg: Segmented) -> Segmented:
     return seg
 
 
-def check(docs: DataFrame, pack: Pack, fmt: str = "text", id_col: str = "doc_id", text_col: str = "text", segmented: Segmented | None = None) -> DataFrame:
-    """Findings of a pack's rules lane over ``docs``."""
+def check(docs: DataFrame, pack: Pack, fmt: str = "text", id_col: str = "doc_id", text_col: str = "text", segmented: Segmented | None = None, lane: Lane | None = None) -> DataFrame:
+    """Findings of a pack over ``docs``: of the rules lane and, if it was run, of the classifier lane."""
     seg = segmented or shared(segment(docs, fmt, id_col, text_col))
-    return findings(rule_hits(seg, pack), seg, pack)
+    return findings(rule_hits(seg, pack), seg, pack, lane.hits if lane else None)
 
 
-def results(docs: DataFrame, pack: Pack, fmt: str = "text") -> DataFrame:
-    """``doc_id, result``: one JSON document for each text, as a check of that text alone gives."""
+def results(docs: DataFrame, pack: Pack, fmt: str = "text", rules: bool = True, classifier: bool = True, **asking) -> DataFrame:
+    """``doc_id, result``: one JSON document for each text, as a check of that text alone gives.
+
+    ``rules`` and ``classifier`` switch the lanes; ``asking`` goes to ``run_lane``, without a ``model`` the
+    classifier lane is unavailable.
+    """
     seg = shared(segment(docs, fmt))
-    found = check(docs, pack, fmt, segmented=seg)
-    per = found.groupBy("doc_id").agg(
+    lane = run_lane(seg, pack, asking.pop("model", None), **asking) if classifier else None
+    hits = rule_hits(seg, pack if rules else Pack(pack.id, pack.version, ()))
+    found = findings(hits, seg, pack, lane.hits if lane else None)
+    listed = F.struct(
+        "start", "end", F.col("policy_id").alias("policyId"), F.col("detector_id").alias("detectorId"), "id", F.col("policy_version").alias("policyVersion"), "lane", "severity", "status",
+        F.col("segment_id").alias("segmentId"), F.struct(F.col("u16_start").alias("start"), F.col("u16_end").alias("end")).alias("span"), "excerpt", F.col("excerpt_text").alias("excerptText"),
+        "message", "probability", F.col("raw_probability").alias("rawProbability"), "replacement",
+    )
+    per = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(listed)), lambda f: f.dropFields("start", "end")).alias("findings"))
+    # UTF-16 places from the places of wide characters: no text goes beside its segments.
+    heads = seg.nested.withColumn("wide", F.transform(find_spans(F.col("text"), ASTRAL), lambda s: s["start"]))
+    u16 = lambda at: at + F.size(F.filter("wide", lambda w: w < at))
+    rows = seg.rows()
+    segs = rows.groupBy("doc_id").agg(
         F.array_sort(
             F.collect_list(
                 F.struct(
-                    F.col("u16_start").alias("start"), F.col("u16_end").alias("end"), F.col("policy_id").alias("policyId"), F.col("detector_id").alias("detectorId"), "id",
-                    F.col("policy_version").alias("policyVersion"), "severity", F.col("segment_id").alias("segmentId"), "excerpt", "occurrence", "message", "replacement",
+                    "p", "s", "id", "kind", "start", "end", F.col("text_hash").alias("textHash"), F.when(F.col("kind") != "document", F.col("text")).alias("text"), "block",
+                    F.col("parent_id").alias("parentId"),
                 )
             )
-        ).alias("findings")
-    )
-    segs = seg.rows().join(seg.nested.select("doc_id", F.col("text").alias("whole")), "doc_id")
-    shown = F.struct(
-        F.col("p"), F.col("s"), "id", "kind", utf16_offset(F.col("whole"), F.col("start")).alias("start"), utf16_offset(F.col("whole"), F.col("end")).alias("end"),
-        F.col("text_hash").alias("textHash"), F.when(F.col("kind") != "document", F.col("text")).alias("text"), "block", F.col("parent_id").alias("parentId"),
+        ).alias("all_segments")
     )
-    segments = segs.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(shown)), lambda s: s.dropFields("p", "s")).alias("segments"))
-    heads = seg.nested.select(
+    heads = heads.select(
         "doc_id",
+        "wide",
         F.struct(F.concat(F.lit("sha256:"), F.sha2("text", 256)).alias("hash"), utf16_length(F.col("text")).alias("length")).alias("document"),
-        F.transform("protected", lambda r: F.struct(r["kind"].alias("kind"), utf16_offset(F.col("text"), r["start"]).alias("start"), utf16_offset(F.col("text"), r["end"]).alias("end"))).alias("protected"),
+        F.transform("protected", lambda r: F.struct(r["kind"].alias("kind"), u16(r["start"]).alias("start"), u16(r["end"]).alias("end"))).alias("protected"),
     )
-    out = heads.join(segments, "doc_id").join(per, "doc_id", "left")
-    rules = F.struct(F.lit("ran").alias("status"), F.lit(len(pack.detectors("phrase", "regex", "builtin"))).alias("detectors"))
+    out = heads.join(segs, "doc_id").join(per, "doc_id", "left")
+    segments = F.transform("all_segments", lambda s: s.withField("start", u16(s["start"])).withField("end", u16(s["end"])).dropFields("p", "s"))
+    ran = F.struct(F.lit("ran").alias("status"), F.lit(len(pack.detectors("phrase", "regex", "builtin"))).alias("detectors"))
+    off = F.struct(F.lit("disabled").alias("status"))
+    if lane:
+        ids = rows.select("doc_id", F.col("kind").alias("segment_kind"), "p", "s", F.col("id").alias("segmentId"))
+        raw = F.when(F.col("raw_probability") != F.col("probability"), F.col("raw_probability")).alias("rawProbability")
+        entry = F.struct("segmentId", F.col("policy_id").alias("policyId"), F.col("detector_id").alias("detectorId"), "probability", raw)
+        covered = lane.coverage.join(ids, ["doc_id", "segment_kind", "p", "s"]).groupBy("doc_id").agg(F.array_sort(F.collect_list(entry)).alias("coverage"))
+        out = out.join(covered, "doc_id", "left").join(lane.status.withColumnRenamed("status", "lane_status"), "doc_id", "left")
+        judged = F.struct(F.col("lane_status").alias("status"), "reason", "detectors")
+        usage = F.struct(F.col("requests").alias("classifierRequests"), F.col("cache_hits").alias("classifierCacheHits"))
+    else:
+        out = out.withColumn("coverage", F.array().cast("array<string>"))
+        judged, usage = off, F.lit(None).cast("string")
+    or_none = lambda c: F.coalesce(c, F.slice(F.array(F.get(c, F.lit(0))), 1, 0)).alias(c)
     body = F.struct(
         F.lit(1).alias("schemaVersion"), F.lit("utf16").alias("offsetUnit"), "document", F.struct(F.lit(pack.id).alias("packId"), F.lit(pack.version).alias("version")).alias("pack"),
-        "segments", "protected", F.coalesce(F.col("findings"), F.slice(F.array(F.get("findings", F.lit(0))), 1, 0)).alias("findings"), F.array().cast("array<string>").alias("coverage"),
-        F.struct(rules.alias("rules"), F.struct(F.lit("disabled").alias("status")).alias("classifier")).alias("lanes"),
+        segments.alias("segments"), "protected", or_none("findings"), or_none("coverage"), F.struct((ran if rules else off).alias("rules"), judged.alias("classifier")).alias("lanes"), usage.alias("usage"),
     )
     return out.select("doc_id", F.to_json(body).alias("result"))
