@@ -60,8 +60,10 @@ def laid_out(gaps: Column, matches: Column) -> Column:
     return let(parts, lambda p: scan(p, F.lit(0), lambda at, x: at + F.length(x["g"]) + F.length(x["m"]), span, "struct<start:int,end:int,m:string>"))
 
 
-def find_spans(text: Column, pattern: str) -> Column:
+def find_spans(text: Column, pattern: str | Column) -> Column:
     """All matches of a pattern that never matches nothing, in order."""
+    if isinstance(pattern, Column):
+        return laid_out(F.split(text, pattern, -1), F.regexp_extract_all(text, pattern, F.lit(0)))
     found = laid_out(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     return F.when(text.rlike(pattern), found).otherwise(no_spans())
 

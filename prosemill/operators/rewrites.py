@@ -1,7 +1,7 @@
 """Proposed rewrites: which text a request is about, and which options are refused.
 
 A request names a span of a document, by a finding or by an editor's choice. Nothing here calls a
-generative model: its options come in as rows.
+generative model: ``prompts`` writes what it would be sent, and its options come in as rows.
 """
 
 from __future__ import annotations
@@ -10,12 +10,12 @@ import re
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from prosemill.functions.spans import normalized
 from prosemill.operators.segmentation import Segmented
-from prosemill.sources.packs import Pack, PackError, parse_pack
+from prosemill.sources.packs import Pack, PackError, Policy, parse_pack
 
 # Patterns of advice that no rewrite may give.
 EVASION = (
@@ -56,6 +56,63 @@ def targets(requests: DataFrame, seg: Segmented) -> DataFrame:
     return rows.select(*requests.columns, "target_start", "target_end", "target", "problem")
 
 
+#: House policies in a prompt, signs of each one's guidance, and signs of a sample of the house's voice.
+MOST_POLICIES, GUIDANCE_SIGNS, SAMPLE_SIGNS = 30, 300, 800
+
+
+def _by_policy(pack: Pack, text: Callable[[Policy | None], str | None]) -> Column:
+    """``text`` of the policy in ``policy_id``, or of none."""
+    known = [F.lit(x) for p in pack.policies for x in (p.id, text(p))]
+    own = F.try_element_at(F.create_map(*known), F.col("policy_id")) if known else F.lit(None).cast("string")
+    return F.when(F.col("policy_id").isNull(), F.lit(text(None))).otherwise(own)
+
+
+def prompts(wanted: DataFrame, seg: Segmented, pack: Pack) -> DataFrame:
+    """``request_id, prompt`` of ``targets`` without a problem.
+
+    A prompt holds the house's guidance and its other policies, what the broken one says and why the
+    text was flagged (``message``, if ``wanted`` has it), the editor's ``note``, a sample of the house's
+    voice, and the target between its neighbouring paragraphs, with marks around it and around what
+    was flagged. Parts that are empty are left out.
+    """
+    short = lambda t: " ".join(t.split())[:GUIDANCE_SIGNS]
+
+    def house(asked: Policy | None) -> str | None:
+        others = [p for p in pack.policies if p.enabled and p is not asked][:MOST_POLICIES]
+        return "Keep to these policies too:\n" + "\n".join(f"* {p.title} - {short(p.guidance)}" for p in others) if others else None
+
+    def broken(asked: Policy | None) -> str | None:
+        if asked is None:
+            return None
+        said = [f"Policy that the target breaks: {asked.title}", asked.guidance]
+        said += [f"Way to mend it: {asked.rewrite_guidance}"] if asked.rewrite_guidance else []
+        said += ["Texts that keep to it: " + "; ".join(asked.complies)] if asked.complies else []
+        return "\n".join(said)
+
+    rows = wanted.where("problem is null").join(seg.nested.select("doc_id", "text", "paragraphs"), "doc_id")
+    optional = lambda name, head: F.when(F.col(name).isNotNull() & (F.col(name) != ""), F.concat(F.lit(head), F.col(name))) if name in wanted.columns else F.lit(None).cast("string")
+    touched = F.filter(F.sequence(F.lit(0), F.size("paragraphs") - 1), lambda k: (F.get("paragraphs", k)["start"] < F.col("target_end")) & (F.col("target_start") < F.get("paragraphs", k)["end"]))
+    rows = rows.withColumn("touched", touched)
+    first, last = F.greatest(F.array_min("touched") - 1, F.lit(0)), F.least(F.array_max("touched") + 1, F.size("paragraphs") - 1)
+    rows = rows.withColumns({"from": F.get("paragraphs", first)["start"], "to": F.get("paragraphs", last)["end"]})
+    cut = lambda a, b: F.substr("text", a + 1, F.greatest(b - a, F.lit(0)))
+    a, b, x, y = (F.col(c) for c in ("target_start", "target_end", "start", "end"))
+    flagged = F.concat(cut(a, x), F.lit("<flag>"), cut(x, y), F.lit("</flag>"), cut(y, b))
+    sample = next((str(s["text"])[:SAMPLE_SIGNS] for s in pack.samples if s.get("text")), None)
+    parts = [
+        F.lit(f"Guidance of the house: {pack.guidance}" if pack.guidance else None).cast("string"),
+        _by_policy(pack, house),
+        _by_policy(pack, broken),
+        optional("message", "Why it was flagged: "),
+        optional("note", "The editor's note: "),
+        F.lit(f"How the house writes:\n{sample}" if sample else None).cast("string"),
+        F.concat(F.lit("The draft around the target:\n"), cut(F.col("from"), a), F.lit("<target>"), cut(a, b), F.lit("</target>"), cut(b, F.col("to"))),
+        F.concat(F.lit("The target:\n"), F.when(F.col("policy_id").isNotNull(), flagged).otherwise(cut(a, b))),
+        F.lit("An option stands in place of the whole target and has no marks."),
+    ]
+    return rows.select("request_id", F.array_join(F.array_compact(F.array(*parts)), "\n\n").alias("prompt"))
+
+
 def judged(options: DataFrame, wanted: DataFrame, seg: Segmented, pack: Pack, again: Callable[[DataFrame], Segmented], count: int = 3) -> DataFrame:
     """``request_id, ord, replacement, reason, kept`` of ``options`` (``request_id, ord, replacement,
     rationale``) for the ``targets`` without a problem.
