@@ -91,6 +91,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_near_dedup": r"""
+        WITH RECURSIVE split AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ),
+        placed AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0),
+        sets AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS g FROM placed),
+        sizes AS (SELECT doc_id, count(*) AS n, md5(string_agg(g, '|' ORDER BY g)) AS content FROM sets GROUP BY doc_id),
+        meet AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+        links AS (SELECT a, b FROM meet JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT doc_id AS node, doc_id AS root FROM documents UNION SELECT e.b, r.root FROM reach r JOIN edges e ON e.a = r.node AND r.root < e.b),
+        lowest AS (SELECT node, min(root) AS component_id FROM reach GROUP BY node)
+        SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, component_id = doc_id AS kept,
+               CASE WHEN n IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY content) END AS class_id
+        FROM documents JOIN lowest ON node = doc_id LEFT JOIN sizes USING (doc_id)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,
