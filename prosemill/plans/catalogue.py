@@ -205,9 +205,50 @@ def markdown_segments(spark, sf):
     return segment(docs(spark, sf), "markdown").rows().select("doc_id", "p", "s", "kind", "block", "start", "end", "id")
 
 
-@query()
+#: Texts in pieces: source, kind, the prose in it and that prose as plain text. A kind that holds prose is a block's.
+MARKED = [
+    [("# Head *x* #", "heading", "Head *x*", "Head x"), ("Para `a. B` here. Two.", "paragraph", "Para `a. B` here. Two.", "Para a. B here. Two."), ("```py\ncode. Code.\n```", "code", None, None), ("> Quoted. Text.", "quote", None, None)],
+    [(":::note{a=1}", "directive", None, None), ("Inside **it** all.", "paragraph", "Inside **it** all.", "Inside it all."), (":::", "directive", None, None), ("::leaf{a=1\nb=2}", "directive", None, None), ("Title\n=====", "heading", "Title", "Title")],
+    [("| a | b |\n|---|---|\n| 1 | 2 |", "table", None, None), ("<div>\n<b>x</b>\n</div>", "html", None, None), ("- one [link](http://x.y)", "listItem", "one [link](http://x.y)", "one link"), ("    code\n\n    more", None, "code", "code")],
+    [("~~~\n```\n:::note\n~~~", "code", None, None), ("1. First. Step.", "listItem", "First. Step.", "First. Step."), ("***", "rule", None, None), ("<!-- a. B -->", "html", None, None), ("End _now_.", "paragraph", "End _now_.", "End now.")],
+]
+MARKED[2].pop()  # indented lines after an item go on with the item
+
+
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations, each with blocks of markup by its id after it."""
+    texts = F.array(*[F.lit("\n\n".join(x[0] for x in pieces)) for pieces in MARKED])
+    return talks(spark, sf).withColumn("text", F.concat("text", F.lit("\n\n"), F.get(texts, (F.col("doc_id") % len(MARKED)).cast("int"))))
+
+
+def _marked_values(prose: bool) -> str:
+    """Rows of sample, kind, text, start, end, as the pieces say."""
+    rows = []
+    for k, pieces in enumerate(MARKED):
+        at = 0
+        for source, kind, inner, plain in pieces:
+            quoted = "NULL" if plain is None else "'" + plain.replace("'", "''") + "'"
+            start = at + (source.index(inner) if inner else 0)
+            if (inner is not None) == prose and kind != "rule":
+                rows.append(f"({k}, '{kind}', {quoted}, {start}, {start + len(inner or source)})")
+            at += len(source) + 2
+    return ", ".join(rows)
+
+
+_MARKED_SQL = """SELECT doc_id, {names}, CAST(length(text) + 2 + a AS INTEGER) AS start, CAST(length(text) + 2 + b AS INTEGER) AS "end"
+    FROM (SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM conversations GROUP BY conv_id) JOIN (VALUES {values}) v(sample, kind, plain, a, b) ON doc_id % {n} = sample"""
+
+
+@query(_MARKED_SQL.format(names="kind", values=_marked_values(False), n=len(MARKED)))
 def protected_regions(spark, sf):
-    return segment(docs(spark, sf), "markus").protected
+    return segment(marked(spark, sf), "markus").protected
+
+
+@query(_MARKED_SQL.format(names="kind AS block, plain AS text", values=_marked_values(True), n=len(MARKED)))
+def markdown_blocks(spark, sf):
+    """The blocks of prose that stand after the conversation."""
+    rows = segment(marked(spark, sf), "markus").paragraphs.join(talks(spark, sf).select("doc_id", F.length("text").alias("own")), "doc_id")
+    return rows.where("start > own").select("doc_id", "block", "text", "start", "end")
 
 
 # --- rules lane ----------------------------------------------------------------------------------
