@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from prosemill.llm.common import materialize, n_words, text_or_empty
 
-#: Classes of size for each doubling of the size.
-CLASSES = 4
+#: Classes of size for each growth by Euler's number.
+CLASSES = 6
 #: Documents of a source and class for each hash bucket.
 ROWS_PER_BUCKET = 1000
 #: Documents of a larger part of their source than one in so many are drawn first.
@@ -62,7 +62,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
 
 def _uniform(seed: int, key: Column) -> Column:
     """In [0, 1), the same on every run."""
-    return F.pmod(F.xxhash64(F.lit(seed), key), F.lit(1 << 52)) / F.lit(float(1 << 52))
+    return _number(F.md5(F.concat_ws(":", F.lit(seed), key)), 13) / F.lit(float(1 << 52))
+
+
+def _number(hexadecimal: Column, digits: int) -> Column:
+    return F.conv(F.substring(hexadecimal, 1, digits), 16, 10).cast("long")
 
 
 def mix_sources(
@@ -99,16 +103,16 @@ def mix_sources(
     skey = F.concat(F.when(F.col("source").isNull(), "n").otherwise("s"), F.coalesce("source", F.lit("")))
     rows = rows.withColumns(
         {
-            "h": F.xxhash64(F.lit(seed), F.col("doc_id")),
+            "h": F.md5(F.concat_ws(":", F.lit(seed), F.col("doc_id"))),
             "heavy": F.col("size") * HEAVY > F.col("source_size"),
-            "cls": F.floor(F.log2(F.col("size") + 1) * CLASSES),
+            "cls": F.floor(F.log(F.col("size") + 1) * CLASSES),
             "skey": skey,
         }
     )
     # About a hundred rows a source.
     part = ["skey", "heavy", "cls"]
     classes = rows.groupBy(part).agg(F.ceil(F.count(F.lit(1)) / ROWS_PER_BUCKET).cast("long").alias("buckets"))
-    rows = rows.join(materialize(classes, "mix-classes"), part).withColumn("bucket", F.pmod(F.shiftright("h", 7), F.col("buckets")))
+    rows = rows.join(materialize(classes, "mix-classes"), part).withColumn("bucket", _number(F.col("h"), 8) % F.col("buckets"))
     cell = [*part, "bucket"]
     cells = rows.groupBy(cell).agg(F.sum("n").alias("n"))
     ahead = Window.partitionBy("skey", "heavy").orderBy("cls", "bucket").rowsBetween(Window.unboundedPreceding, -1)

@@ -107,6 +107,32 @@ ORACLES: dict[str, str] = {
                CASE WHEN n IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY content) END AS class_id
         FROM documents JOIN lowest ON node = doc_id LEFT JOIN sizes USING (doc_id)
     """,
+    "op4_mix_sources": r"""
+        WITH d AS (
+            SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size, CASE WHEN source IS NULL THEN 'n' ELSE 's' || source END AS skey,
+                   md5('17' || coalesce(':' || doc_id, '')) AS h
+            FROM documents
+        ),
+        per AS (SELECT skey, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY skey),
+        weighed AS (SELECT *, 3.0::DOUBLE * source_size AS cap, 1.0::DOUBLE + (row_number() OVER (ORDER BY source COLLATE "C" NULLS LAST) - 1) % 3 AS weight FROM per),
+        -- The level at which everything is shared is the highest that any set of capped sources gives.
+        levels AS (SELECT ((SELECT sum(source_size) FROM per) - coalesce(sum(o.cap) FILTER (o.cap / o.weight < w.cap / w.weight), 0)) / sum(o.weight) FILTER (o.cap / o.weight >= w.cap / w.weight) AS level
+            FROM weighed w, weighed o GROUP BY w.skey),
+        targets AS (SELECT skey, source_size, least(cap, (SELECT max(level) FROM levels) * weight) AS target, CAST('0x' || substr(md5('17:' || skey), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE AS o FROM weighed),
+        classed AS (SELECT d.*, source_size, target, o, size * 100 > source_size AS heavy, floor(ln(size + 1) * 6) AS cls FROM d JOIN targets USING (skey)),
+        celled AS (SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % CAST(ceil(count(*) OVER (PARTITION BY skey, heavy, cls) / 1000) AS BIGINT) AS bucket FROM classed),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY skey, heavy ORDER BY cls, bucket, size, h, doc_id) AS k FROM celled),
+        drawn AS (
+            SELECT skey, sum(size) AS size, sum((floor(k * (target / source_size) + o) - floor((k - 1) * (target / source_size) + o)) * size) AS words FROM ranked WHERE heavy GROUP BY skey
+        ),
+        rated AS (
+            SELECT r.*, CASE WHEN heavy THEN target / source_size
+                ELSE coalesce(least(3, greatest(0, (target - coalesce(words, 0)) / nullif(source_size - coalesce(n.size, 0), 0))), 0) END AS rate
+            FROM ranked r LEFT JOIN drawn n USING (skey)
+        ),
+        copied AS (SELECT *, CAST(least(3, floor(k * rate + o) - floor((k - 1) * rate + o)) AS BIGINT) AS copies FROM rated)
+        SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied
+    """,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

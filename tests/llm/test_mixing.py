@@ -1,11 +1,11 @@
 """Mixing against a plain version: targets, the order of a source, one offset, integer borders crossed."""
 
+import hashlib
 import math
 import random
 from collections import defaultdict
 
 import pytest
-import xxhash
 from helpers import DOCS, ODD, clashing, documents
 
 from prosemill.llm.mixing import CLASSES, HEAVY, mix_sources
@@ -35,17 +35,8 @@ def plain_targets(sizes, most=3):
         capped |= {s: most * sizes[s] for s in over}
 
 
-def _long(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
 def _hash(seed, *parts):
-    h = 42
-    for k, p in enumerate((seed, *parts)):
-        if p is not None:
-            raw = p.encode() if isinstance(p, str) else p.to_bytes(8 if k else 4, "little", signed=True)
-            h = xxhash.xxh64(raw, seed=h).intdigest()
-    return _long(h)
+    return hashlib.md5(":".join(str(p) for p in (seed, *parts) if p is not None).encode()).hexdigest()
 
 
 def plain_mix(rows, seed=17):
@@ -55,12 +46,12 @@ def plain_mix(rows, seed=17):
     sizes = {s: sum(n for _, n in docs) for s, docs in by.items()}
     targets, out = plain_targets(sizes), []
     for s, docs in by.items():
-        offset = _hash(seed, ("n" if s is None else "s") + (s or "")) % (1 << 52) / float(1 << 52)
+        offset = int(_hash(seed, ("n" if s is None else "s") + (s or ""))[:13], 16) / float(1 << 52)
         left, words = targets[s], sizes[s]
         for heavy in (True, False):
             rate = max(0.0, min(3.0, left / words)) if words else 0.0
             own = [d for d in docs if (d[1] * HEAVY > sizes[s]) == heavy]
-            order = sorted(own, key=lambda d: (math.floor(math.log2(d[1] + 1) * CLASSES), d[1], _hash(seed, d[0]), d[0] is not None, d[0] or 0))
+            order = sorted(own, key=lambda d: (math.floor(math.log(d[1] + 1) * CLASSES), d[1], _hash(seed, d[0]), d[0] is not None, d[0] or 0))
             for rank, (k, n) in enumerate(order, 1):
                 copies = min(3, math.floor(rank * rate + offset) - math.floor((rank - 1) * rate + offset))
                 out.append((k, n, sizes[s], round(targets[s], 6), copies * n))
