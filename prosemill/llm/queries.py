@@ -133,6 +133,47 @@ ORACLES: dict[str, str] = {
         copied AS (SELECT *, CAST(least(3, floor(k * rate + o) - floor((k - 1) * rate + o)) AS BIGINT) AS copies FROM rated)
         SELECT doc_id, size, source_size, target, copies * size AS taken, copies FROM copied
     """,
+    "op5_url_filter": r"""
+        WITH parsed AS (
+            SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                   coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path,
+                   regexp_replace(coalesce(regexp_extract(url, '(?s)^.*?://[^?#]*\?([^#]*)', 1), ''), '[0-9]+', '#', 'g') AS query,
+                   regexp_replace(coalesce(regexp_extract(url, '(?s)^.*?://[^#]*#(.*)', 1), ''), '[0-9]+', '#', 'g') AS fragment
+            FROM pages
+        ),
+        listed(site, below, rule, says) AS (
+            VALUES ('com', '/en/', 'com/en/', 'block'), ('example.com', '/en/7', 'example.com/en/7', 'allow'), ('net', '/de/', 'net/de/', 'allow'),
+                   ('example.net', '/de/8', 'example.net/de/8', 'block'), ('org', '/es/', 'org/es/', 'block')
+        ),
+        fits AS (
+            SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(says, length(rule)) AS says FROM parsed JOIN listed ON (host = site OR ends_with(host, '.' || site)) AND starts_with(path, below)
+            GROUP BY page_id
+        ),
+        base AS (SELECT parsed.*, rule, says, string_split(regexp_replace(host, '[0-9]+', '#', 'g'), '.') AS labels FROM parsed LEFT JOIN fits USING (page_id)),
+        raw AS (
+            SELECT page_id, 'tld=' || labels[-1] AS token FROM base WHERE labels[-1] <> ''
+            UNION SELECT page_id, 'host=' || x FROM (SELECT page_id, unnest(labels[:-2]) AS x FROM base) WHERE x <> ''
+            UNION SELECT page_id, 'dir=' || x FROM (SELECT page_id, unnest(string_split(regexp_replace(path, '[0-9]+', '#', 'g'), '/')) AS x FROM base) WHERE x <> ''
+            UNION SELECT page_id, 'arg=' || split_part(x, '=', 1) FROM (SELECT page_id, unnest(string_split_regex(query, '[&;]')) AS x FROM base) WHERE split_part(x, '=', 1) <> ''
+            UNION SELECT page_id, 'fragment=' || fragment FROM base WHERE fragment <> ''
+        ),
+        pages_of AS (SELECT token, list(page_id ORDER BY page_id) AS ids FROM raw GROUP BY token),
+        total AS (SELECT count(DISTINCT page_id) AS n, greatest(5, ceil(0.0005 * count(DISTINCT page_id))) AS least FROM raw),
+        stands AS (SELECT min(token) AS token FROM pages_of, total WHERE len(ids) >= least GROUP BY ids),
+        bags AS (SELECT page_id, list(token ORDER BY token) AS own FROM raw JOIN stands USING (token) GROUP BY page_id),
+        masks AS (SELECT page_id, own, unnest(range(1, 1 << len(own))) AS mask FROM bags),
+        subsets AS (SELECT page_id, list_filter(own, lambda x, i: (mask >> (i - 1)) & 1 = 1) AS items FROM masks),
+        counted AS (SELECT items, count(*) AS n FROM subsets GROUP BY items),
+        mined AS (
+            SELECT items, says AS said, count(*) AS k, count(*) / any_value(n)::DOUBLE AS confidence FROM subsets JOIN base USING (page_id) JOIN counted USING (items) WHERE says IS NOT NULL GROUP BY items, says
+        ),
+        rules AS (SELECT mined.* FROM mined, total WHERE k >= least AND confidence >= 0.6),
+        best AS (
+            SELECT page_id, said, array_to_string(items, ' ') AS mined_rule FROM subsets JOIN rules USING (items)
+            QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY confidence DESC, k DESC, len(items) DESC, array_to_string(items, ' ') DESC) = 1
+        )
+        SELECT page_id, host, path, rule, coalesce(says, said, 'allow') AS verdict, CASE WHEN rule IS NULL THEN mined_rule END AS mined_rule FROM base LEFT JOIN best USING (page_id)
+    """,
     "op9_exact_dedup": """
         SELECT doc_id,
                max(doc_id) OVER same AS keep_id,

@@ -12,6 +12,8 @@ paths, however often they occur, don't give all subsets of their segments.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -73,11 +75,11 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, l
     if not total:
         none = "rule_id string, tokens array<string>, label string, confidence double, support double"
         return labelled.sparkSession.createDataFrame([], none)
-    support = max(min_support, least_urls / total)
+    least = max(least_urls, math.ceil(min_support * total))
     # Sums of a decimal type don't overflow, and are the same in any order.
     hashed = F.xxhash64("tokens").cast("decimal(38,0)")
     each = labelled.select(hashed.alias("bag"), F.explode("tokens").alias("token"))
-    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bag").alias("bags")).where(F.col("n") >= support * total)
+    seen = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum("bag").alias("bags")).where(F.col("n") >= least)
     # Frequent tokens alone; the smallest of equal ones stands for them.
     stands = seen.groupBy("n", "bags").agg(F.min("token").alias("token")).select("token")
     stands = materialize(stands, "url-tokens")
@@ -87,7 +89,7 @@ def mine_rules(labelled: DataFrame, min_support: float, min_confidence: float, l
     kept = bags.count()
     if not kept:
         return mine_rules(labelled.limit(0), min_support, min_confidence, least_urls)
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, support * total / kept), minConfidence=min_confidence).fit(bags)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / kept), minConfidence=min_confidence).fit(bags)
     rules = model.associationRules.where(
         F.startswith(F.col("consequent")[0], F.lit("says=")) & ~F.exists("antecedent", lambda t: F.startswith(t, F.lit("says=")))
     )
