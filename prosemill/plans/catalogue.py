@@ -322,11 +322,11 @@ for _name in bundled():
 # --- built-in checks -----------------------------------------------------------------------------
 
 
-def _check(name: str, params: dict | None = None, sql: str | None = None, of: Callable = seeded) -> None:
+def _check(name: str, params: dict | None = None, sql: str | None = None, of: Callable = seeded, called: str | None = None) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         return CHECKS[name](segment(of(spark, sf)), params or {}, None).select("doc_id", "start", "end")
 
-    query(sql, name=f"check_{name}")(run)
+    query(sql, name=f"check_{called or name}")(run)
 
 
 _ENDS = 'SELECT doc_id, start, start + length(source) AS "end"'
@@ -456,7 +456,24 @@ _check(
             UNION ALL SELECT doc_id, start, start + length(m), 2 FROM nots)
         SELECT doc_id, start, "end" FROM forms b WHERE NOT EXISTS (SELECT 1 FROM forms o WHERE o.doc_id = b.doc_id AND o.ord < b.ord AND o.start < b."end" AND b.start < o."end")""",
 )
-_check("uniform_cadence")
+_check(
+    "uniform_cadence",
+    sql=SEEDED.replace("WITH whole", "WITH RECURSIVE whole", 1) + f""", num AS (
+            SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, s) AS i, start, start + length(source) AS "end", len(string_split({_FLAT}, ' ')) AS n FROM sent),
+        ends AS (
+            SELECT a.doc_id, a.i, coalesce(min(b.i), (SELECT max(i) + 1 FROM num c WHERE c.doc_id = a.doc_id)) AS e
+            FROM num a LEFT JOIN num b ON b.doc_id = a.doc_id AND b.i > a.i AND abs(b.n - a.n) > 3 GROUP BY a.doc_id, a.i),
+        walk AS (SELECT DISTINCT doc_id, 1::BIGINT AS i FROM num UNION ALL SELECT doc_id, CASE WHEN e - i >= 5 THEN e ELSE i + 1 END FROM walk JOIN ends USING (doc_id, i))
+        SELECT w.doc_id, f.start, l."end" FROM walk w JOIN ends x ON x.doc_id = w.doc_id AND x.i = w.i AND e - x.i >= 5
+        JOIN num f ON f.doc_id = w.doc_id AND f.i = w.i JOIN num l ON l.doc_id = w.doc_id AND l.i = e - 1""",
+)
+_check(
+    "information_density", {"minWords": 20, "minLexicalDensity": 0.6, "maxGzipRatio": 0.0},
+    SEEDED + f""", t AS (SELECT doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9'']+')) AS t FROM para)
+        SELECT doc_id, 0 AS start, CAST(any_value(length(text)) AS INTEGER) AS "end" FROM t JOIN whole USING (doc_id) GROUP BY doc_id
+        HAVING count(*) >= 20 AND count_if(t NOT IN ({_listed(L.FUNCTION_WORDS)})) / count(*)::DOUBLE < 0.6""",
+    called="lexical_density",
+)
 _check("information_density", {"minWords": 20, "minLexicalDensity": 0.6})
 
 
