@@ -293,6 +293,25 @@ def check_findings(spark, sf):
     return check(docs(spark, sf), PACK).select("doc_id", "id", "policy_id", "detector_id", "severity", "segment_id", "start", "end", "u16_start", "occurrence", "excerpt")
 
 
+@query(
+    _PACK_HITS.replace(DOCS, TALKS, 1) + """, named AS (
+        SELECT doc_id, p, s, start AS s0, source AS seg, trim(regexp_replace(source, '\\s+', ' ', 'g')) AS flat FROM sent),
+    numbered AS (SELECT *, 's-' || substring(sha256(flat), 1, 12) AS base, row_number() OVER (PARTITION BY doc_id, flat ORDER BY p, s) AS nth FROM named),
+    inside AS (
+        SELECT h.*, seg, s0, flat, base || CASE WHEN nth > 1 THEN '-' || nth ELSE '' END AS segment_id, substr(seg, h.start - s0 + 1, h."end" - h.start) AS excerpt
+        FROM hits h JOIN numbered n ON n.doc_id = h.doc_id AND s0 <= h.start AND h."end" <= s0 + length(seg)),
+    counted AS (
+        SELECT *, trim(regexp_replace(excerpt, '\\s+', ' ', 'g')) AS said,
+            CAST(row_number() OVER (PARTITION BY doc_id, policy_id, detector_id, segment_id, trim(regexp_replace(excerpt, '\\s+', ' ', 'g')) ORDER BY start, "end") - 1 AS INTEGER) AS occurrence FROM inside)
+    SELECT c.doc_id, 'f-' || substring(sha256(concat_ws(chr(31), policy_id, detector_id, flat, said, occurrence)), 1, 16) AS id, policy_id, detector_id,
+        CASE policy_id WHEN 'tion' THEN 'warn' ELSE 'info' END AS severity, segment_id, start, "end",
+        CAST(start + length(regexp_replace(substr(text, 1, start), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS INTEGER) AS u16_start, occurrence, excerpt
+    FROM counted c JOIN whole USING (doc_id)"""
+)
+def check_findings_of_talks(spark, sf):
+    return check(talks(spark, sf), PACK).select("doc_id", "id", "policy_id", "detector_id", "severity", "segment_id", "start", "end", "u16_start", "occurrence", "excerpt")
+
+
 @query()
 def check_results(spark, sf):
     return results(talks(spark, sf), PACK)
