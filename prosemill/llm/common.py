@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: The white space between words.
 GAP = r"[\x20\x09-\x0D]+"
 
+#: Texts that a Python worker works on at a time.
+SLICE = 500
+
 _own_dir: dict[str, str] = {}
 
 
@@ -72,3 +77,10 @@ def text_or_empty(name: str) -> Column:
 def n_words(text: Column) -> Column:
     """Number of words as a long."""
     return F.regexp_count(text, F.lit(WORD)).cast("long")
+
+
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same rows in parts of at most ``SLICE``, so that results of a whole batch never stand beside it."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, SLICE):
+            yield batch.slice(at, SLICE)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import materialize, text_or_empty
+from prosemill.llm.common import materialize, sliced, text_or_empty
 
 #: Pieces of a group, about. A group wastes less than about one sequence of its thousands.
 PIECES_PER_GROUP = 8192
@@ -65,19 +65,18 @@ def document_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = 0,
         from prosemill.llm.encoding import id_encoder
 
         encoder, end = id_encoder(tokenizer), int(end_id).to_bytes(4, "little")
-        for batch in batches:
+        for part in sliced(batches):
             out: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("t"), strict=True):
+            for doc_id, text in zip(part.column("doc_id").to_pylist(), part.column("t"), strict=True):
                 ids = encoder.encode(text.as_py()) + end
                 for k in range(0, len(ids), 4 * size):
-                    part = ids[k : k + 4 * size]
-                    out.append((doc_id, k // (4 * size), k // 4, len(part) // 4, zlib.crc32(part), part))
-            columns = [*zip(*out, strict=True)] if out else [()] * 6
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                    own = ids[k : k + 4 * size]
+                    row = (doc_id, k // (4 * size), k // 4, len(own) // 4, zlib.crc32(own))
+                    out.append((*row, own) if with_ids else row)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())[: 6 if with_ids else 5]
+            columns = zip(*out, strict=True) if out else [()] * len(kinds)
             arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32", "ids"]
-            n = 6 if with_ids else 5
-            yield pa.RecordBatch.from_arrays(arrays[:n], names=names[:n])
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(kinds)])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("t"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from prosemill.llm.common import text_or_empty
+from prosemill.llm.common import sliced, text_or_empty
 
 #: Score at the threshold.
 CUT = 0.7
@@ -113,9 +113,9 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def _measured(batch: pa.RecordBatch) -> np.ndarray:
-    """The text is the last column."""
-    return np.array([features(t.as_py() or "") for t in batch.column(batch.num_columns - 1)], float).reshape(-1, N_FEATURES)
+def _measured(batch: pa.RecordBatch, at: int = -1) -> np.ndarray:
+    """``at``: the place of the text; it is the last column where none is given."""
+    return np.array([features(t.as_py() or "") for t in batch.column(at % batch.num_columns)], float).reshape(-1, N_FEATURES)
 
 
 def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", most: int = MOST_LABELS) -> Ranker | None:
@@ -132,7 +132,7 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).join(F.broadcast(sample), "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array(_measured(batch).tolist(), pa.list_(pa.float64()))],
                 names=["doc_id", "quality", "x"],
@@ -156,7 +156,7 @@ def score_documents(docs: DataFrame, ranker: Ranker | None, id_col: str = "doc_i
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             scores = ranker.scores(_measured(batch)) if ranker else np.ones(batch.num_rows)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "score"])
 
@@ -171,10 +171,10 @@ def keep_good(docs: DataFrame, ranker: Ranker | None, text_col: str = "text") ->
     if ranker is None:
         return docs
 
+    at = docs.columns.index(text_col)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = pa.array(ranker.scores(_measured(batch)) >= CUT)
-            yield batch.filter(good).select(list(range(batch.num_columns - 1)))
+        for part in sliced(batches):
+            yield part.filter(pa.array(ranker.scores(_measured(part, at)) >= CUT))
 
-    name = "_" * (1 + max(map(len, docs.columns)))  # no column has this name
-    return docs.select("*", text_or_empty(text_col).alias(name)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -121,3 +121,27 @@ def test_whole_run(spark):
         spans.sort()
         assert spans[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:], strict=False)) and sum(spans[-1]) <= 2048
     assert pipeline.ORACLE_SQL is None
+
+
+def test_workers_hold_results_of_few_texts(spark, monkeypatch):
+    """The functions that run in workers give back a large batch part by part, and each text is sent once."""
+    import pyarrow as pa
+
+    from prosemill.llm import ranking
+    from prosemill.llm.common import SLICE
+    from prosemill.llm.packing import document_pieces
+    from prosemill.llm.queries import vocabulary
+
+    given = []
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, f, schema: given.append((self.columns, f)) or self)
+    n = 3 * SLICE + 1
+    document_pieces(docs, vocabulary("word_bpe_49k.json"), 2048)
+    ranking.keep_good(docs, ranking.Ranker(np.zeros(ranking.N_FEATURES), np.ones(ranking.N_FEATURES), np.zeros(ranking.N_FEATURES), 0.0, 1.0))
+    (_, cut), (sent, good) = given
+    texts = pa.array([None, "", *["some words"] * (n - 2)])
+    pieces = list(cut(iter([pa.RecordBatch.from_arrays([pa.array(range(n)), texts.fill_null("")], names=["doc_id", "t"])])))
+    assert [b.num_rows for b in pieces] == [SLICE] * 3 + [1] and sum(pieces[0].column("length").to_pylist()) > SLICE
+    rows = [pa.RecordBatch.from_arrays([pa.array(range(n)), texts, texts], names=docs.columns)]
+    kept = list(good(iter(rows)))
+    assert sent == docs.columns and [b.num_rows for b in kept] == [SLICE] * 3 + [1] and pa.Table.from_batches(kept) == pa.Table.from_batches(rows)
