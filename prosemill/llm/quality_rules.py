@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from prosemill.llm.common import GAP, materialize, text_or_empty
 
 BUCKETS, SMOOTH = 1 << 16, 16.0
-#: Trusted documents that the target is fitted on, about, at most; so many ids are sent to all executors.
-MOST_TRUSTED = 1_000_000
+#: So many ids of trusted documents are sent to all executors; where there are more, texts are dealt out by id.
+MOST_SENT = 1_000_000
 #: Natural logarithms an n-gram, in the mean; below it a text is nearer to the corpus than to the target.
 THRESHOLD = -0.15
 #: The rules' limits and signs.
@@ -78,18 +78,27 @@ def buckets_of(words: Column) -> Column:
     return F.concat(F.transform(words, lambda w: bucket(w)), pairs)
 
 
-def target_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, most: int = MOST_TRUSTED) -> list[float]:
+def target_ratios(docs: DataFrame, trusted: DataFrame, id_col: str, text_col: str, most: int | None = None, sent: int = MOST_SENT) -> list[float]:
     """For each bucket the logarithm of the ratio; zeros without trusted texts.
 
-    All of ``docs`` is counted. ``trusted`` has the column ``doc_id``; of more than ``most`` different
-    ids about ``most`` count, those of some hashes, as a fit on labelled rows may. So their size is
-    bounded, and they are sent to all executors: no text is shuffled.
+    All of ``docs`` and all trusted texts are counted. ``trusted`` has the column ``doc_id``. Up to
+    ``sent`` different ids are sent to all executors, and no text is shuffled; more are hashed partition
+    by partition, and meet the texts dealt out by id, which aren't sorted. Only a caller that gives
+    ``most`` gets a target of about so many ids, those of some hashes.
     """
     good = materialize(trusted.where("doc_id is not null").select(F.col("doc_id").alias("good")).distinct(), "trusted")
     total = good.count()
-    if total > most:
+    if most is not None and total > most:
         good = good.where(F.pmod(F.xxhash64("good"), F.lit(total)) < most)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t")).join(F.broadcast(good), F.col("doc_id") == F.col("good"), "left")
+        total = most
+    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
+    same = F.col("doc_id") == F.col("good")
+    if total <= sent:
+        rows = rows.join(F.broadcast(good), same, "left")
+    else:
+        # Rows of a null id are never trusted; they stay where they are, so that they don't meet in one task.
+        none = rows.where("doc_id is null").withColumn("good", F.lit(None).cast(good.schema["good"].dataType))
+        rows = rows.where("doc_id is not null").join(good.hint("shuffle_hash"), same, "left").unionByName(none)
     grams = rows.select(F.col("good").isNotNull().cast("long").alias("good"), F.explode(_let(words_of(F.col("t")), buckets_of)).alias("bucket"))
     # BUCKETS rows come back, whatever the input's size.
     counts = grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good")).collect()
@@ -114,7 +123,7 @@ def apply_quality_rules(
     docs: DataFrame,
     trusted: DataFrame,
     threshold: float = THRESHOLD,
-    most_trusted: int = MOST_TRUSTED,
+    most_trusted: int | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

@@ -80,6 +80,17 @@ def test_rules_without_trusted_texts_or_rows(spark):
     assert Q.apply_quality_rules(spark.createDataFrame([], DOCS), none).count() == 0
 
 
+def test_every_trusted_text_counts_however_many_there_are(spark):
+    trusted = spark.createDataFrame([(k % 3000,) for k in range(4000)] + [(None,)], "doc_id long")
+    texts = [(k % 4000, f"good{k % 7} words") for k in range(4500)] + [(None, "no id"), (None, "no id"), (5, None)]
+    docs = documents(spark, [*texts, *((k, "bad words") for k in range(5000, 6000))])
+    whole = Q.target_ratios(docs, trusted, "doc_id", "text")
+    dealt = Q.target_ratios(docs, trusted, "doc_id", "text", sent=500)
+    assert any(whole) and dealt == whole
+    nothing = Q.target_ratios(docs, trusted.limit(0), "doc_id", "text", sent=-1)
+    assert nothing == [0.0] * Q.BUCKETS
+
+
 def test_verdicts_on_labels_that_the_target_never_saw(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
